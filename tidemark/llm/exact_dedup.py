@@ -56,7 +56,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(new)
         total = np.add.reduceat(t["n"].to_numpy(), first)
         t = t.take(pa.array(first))
-        t = t.set_column(t.schema.get_field_index("n"), "n", pa.array(total, pa.int64()))
+        at = t.schema.get_field_index("n")
+        t = t.set_column(at, t.schema.field(at), pa.array(total, pa.int64()))
         carry = t.slice(t.num_rows - 1)
         yield from t.slice(0, t.num_rows - 1).to_batches()
     if carry is not None:
