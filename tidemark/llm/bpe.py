@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 16_384
 LONG_WORD = 1_024
+NONE = 2**31 - 1
 BATCH_CHARS = 24_000_000
 APART = re.compile(r"(?<=\S) (?=\S)")
 UNEVEN = re.compile(r"\s |  | \s|^ | $")
@@ -74,36 +75,48 @@ def _rank(table: Column, token: Column) -> Column:
     return F.try_element_at(F.get(table, F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")), token)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold(word: Column, table: Column) -> Column:
-    """array<int> of the ids of one word (binary): ranked merges as a fold.
+    """array<int> of the ids of one word (binary, at most LONG_WORD bytes): a fold of merges.
 
-    Pairs without a rank hold a large number, so array_min always has one to find.
+    State: the word's byte strings p after a leading null, for each the rank r of joining it
+    to the next, and the lowest rank m. What can't be joined (the leading null, the last
+    string, pairs outside the vocabulary) has the rank NONE. A word that is a token by itself
+    needs no merges.
     """
-    none = F.lit(2**31 - 1)
+    none = F.lit(NONE)
     rank = lambda t: F.coalesce(_rank(table, t), none)
     n = F.octet_length(word)
-    parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(word, i, F.lit(2))))).otherwise(
-        F.array().cast("array<int>")
+    nothing = F.lit(None).cast("binary")
+    parts = F.concat(F.array(nothing), F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1))))
+    pairs = F.transform(
+        F.sequence(F.lit(0), n), lambda i: F.when((i > 0) & (i < n), rank(F.substring(word, i, F.lit(2)))).otherwise(none)
     )
-    start = F.struct(parts.alias("p"), pairs.alias("r"), F.array_min(pairs).alias("m"))
+    start = _let(pairs, lambda r: F.struct(parts.alias("p"), r.alias("r"), F.array_min(r).alias("m")))
+
+    def merge(s: Column) -> Column:
+        p, r = s["p"], s["r"]
 
-    def step(s: Column, _i: Column) -> Column:
-        at = F.array_position(s["r"], s["m"]).cast("int")
-        size = F.size(s["p"])
-        joined = F.concat(F.get(s["p"], at - 1), F.get(s["p"], at))
+        def put(at: Column) -> Column:
+            def join(j: Column) -> Column:
+                rest = F.lit(LONG_WORD + 2)
+                new_p = F.concat(F.slice(p, F.lit(1), at - 1), F.array(j), F.slice(p, at + 2, rest))
+                around = F.array(rank(F.concat(F.get(p, at - 2), j)), rank(F.concat(j, F.get(p, at + 1))))
+                new_r = F.concat(F.slice(r, F.lit(1), at - 2), around, F.slice(r, at + 2, rest))
+                return _let(new_r, lambda q: F.struct(new_p.alias("p"), q.alias("r"), F.array_min(q).alias("m")))
 
-        def build(j: Column, i: Column, k: Column) -> Column:
-            left = F.when(i > 1, F.array(rank(F.concat(F.get(s["p"], i - 2), j)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(i + 1 < k, F.array(rank(F.concat(j, F.get(s["p"], i + 1))))).otherwise(F.array().cast("array<int>"))
-            p = F.concat(F.slice(s["p"], F.lit(1), i - 1), F.array(j), F.slice(s["p"], i + 2, k))
-            r = F.concat(F.slice(s["r"], F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(s["r"], i + 2, k))
-            return F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("m"))
+            return _let(F.concat(F.get(p, at - 1), F.get(p, at)), join)
 
-        return F.when(F.coalesce(s["m"], none) == none, s).otherwise(build(joined, at, size))
+        return _let(F.array_position(r, s["m"]).cast("int"), put)
 
-    done = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step)
-    return F.transform(done["p"], lambda t: _rank(table, t))
+    steps = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
+    folded = F.aggregate(steps, start, lambda s, _: F.when(s["m"] == none, s).otherwise(merge(s)), lambda s: s["p"])
+    merged = F.transform(F.slice(folded, F.lit(2), F.lit(LONG_WORD)), lambda t: _rank(table, t))
+    return _let(_rank(table, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged))
 
 
 def long_word(word: bytes, rank: dict[bytes, int]) -> list[int]:
