@@ -4,15 +4,17 @@ Encoding, in one stage without a shuffle:
 
 1. Batches of documents are cut into pieces by the tokenizer's pattern, and each batch is
    brought to its distinct words; documents become indices into them.
-2. Spark higher-order functions fold the ranked merges over each distinct word: the state
-   holds the word's byte strings and the ranks of their neighbouring pairs; a step joins
-   the leftmost pair of lowest rank and looks up the two new pairs. Ranks come from a literal
-   map, dealt into many small maps by hash because a lookup in one Spark map is a scan.
+2. Spark higher-order functions fold the ranked merges over the bytes of each distinct word:
+   the state holds its tokens, at first one for each byte, and the ranks of neighbouring
+   pairs; a step joins the leftmost pair of lowest rank and looks up the two new pairs. Both
+   are kept as packed strings with a character for each token: joining in Spark arrays took
+   more than twice the time. Ranks come from a literal map, dealt into many small maps by
+   hash because a lookup in one Spark map is a scan.
 3. Documents get their ids through the indices.
 
 Cutting takes a short way: a space between two characters that aren't white space always
 begins a piece and no piece crosses it, so texts are first split there, and the pattern runs
-over distinct parts only. Words longer than LONG_WORD bytes, on which the fold's array copies
+over distinct parts only. Words longer than LONG_WORD bytes, on which the fold's copies
 would cost the square of the length, go through a heap with the same merge order.
 
 Decoding concatenates the ids' byte strings.
@@ -29,16 +31,20 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import cache
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 16_384
+BUCKETS = 65_536
 LONG_WORD = 1_024
-NONE = 2**31 - 1
-BATCH_CHARS = 24_000_000
+#: Code points that stand for tokens begin here; no text is ever read as these.
+SYMBOL = 0x10000
+EDGE, NONE = chr(0x10FFFE), chr(0x10FFFF)
+BATCH_CHARS = 32_000_000
+_declared: WeakKeyDictionary[SparkSession, set[str]] = WeakKeyDictionary()
 APART = re.compile(r"(?<=\S) (?=\S)")
 UNEVEN = re.compile(r"\s |  | \s|^ | $")
 
@@ -49,74 +55,92 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def _pairs(path: str) -> pa.Table:
+    """Every pair of tokens whose bytes together are a token, with that token's rank.
+
+    Tokens are written as characters: the one of rank r is code point SYMBOL + r.
+    """
+    rank = ranks(path)
+    pair, joined = [], []
+    for token, r in rank.items():
+        for cut in range(1, len(token)):
+            a, b = rank.get(token[:cut]), rank.get(token[cut:])
+            if a is not None and b is not None:
+                pair.append(chr(SYMBOL + a) + chr(SYMBOL + b))
+                joined.append(chr(SYMBOL + r))
+    return pa.table({"pair": pa.array(pair, pa.string()), "joined": pa.array(joined, pa.string())})
+
+
 def rank_map(spark: SparkSession, path: str) -> str:
-    """Name of a session variable that holds the ranks: array of maps from bytes to rank.
+    """Name of a session variable that holds the ranks of all pairs, in small maps by hash.
 
-    Bounded by the vocabulary. Optimised plans hold its value as a literal.
+    Bounded by the vocabulary; made once in a session. Optimised plans hold its value as a
+    literal.
     """
     import hashlib
 
     name = "bpe_" + hashlib.md5(f"{path}|{BUCKETS}".encode()).hexdigest()[:12]
-    rows = spark.createDataFrame(list(ranks(path).items()), "token binary, rank int")
-    small = rows.groupBy(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("token", "rank"))).alias("m"))
+    made = _declared.setdefault(spark, set())
+    if name in made:
+        return name
+    slot = F.pmod(F.xxhash64("pair"), F.lit(BUCKETS))
+    rows = spark.createDataFrame(_pairs(path))
+    small = rows.groupBy(slot.alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("pair", "joined"))).alias("m"))
     slots = spark.range(BUCKETS).select(F.col("id").alias("b")).join(small, "b", "left")
-    empty = "cast(map() as map<binary,int>)"
     slots.createOrReplaceTempView(f"{name}_rows")
-    spark.sql(f"declare or replace variable {name} array<map<binary,int>>")
-    spark.sql(
-        f"set var {name} = (select transform(array_sort(collect_list(struct(b, coalesce(m, {empty}) as m)), "
-        f"(x, y) -> cast(x.b - y.b as int)), s -> s.m) from {name}_rows)"
-    )
+    spark.sql(f"declare or replace variable {name} array<map<string,string>>")
+    spark.sql(f"set var {name} = (select transform(array_sort(collect_list(struct(b, coalesce(m, cast(map() as map<string,string>)) as m)), (x, y) -> cast(x.b - y.b as int)), s -> s.m) from {name}_rows)")
     spark.catalog.dropTempView(f"{name}_rows")
+    made.add(name)
     return name
 
 
-def _rank(table: Column, token: Column) -> Column:
-    return F.try_element_at(F.get(table, F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")), token)
-
-
 def _let(value: Column, use) -> Column:
     """use(value), with value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fold(word: Column, table: Column) -> Column:
+def fold(word: Column, table: Column, path: str) -> Column:
     """array<int> of the ids of one word (binary, at most LONG_WORD bytes): a fold of merges.
 
-    State: the word's byte strings p after a leading null, for each the rank r of joining it
-    to the next, and the lowest rank m. What can't be joined (the leading null, the last
-    string, pairs outside the vocabulary) has the rank NONE. A word that is a token by itself
-    needs no merges.
+    The word's bytes become a string p of token characters between two EDGE characters. Its
+    companion r holds for every neighbouring pair the character of the token they join to, or
+    NONE; m is the least character in r, the pair of lowest rank. Characters of ranks sort as
+    the ranks do. A step replaces the leftmost such pair in p by its token and the three pairs
+    around it in r by two.
     """
+    rank = ranks(path)
     none = F.lit(NONE)
-    rank = lambda t: F.coalesce(_rank(table, t), none)
+    latin = "".join(map(chr, range(256)))
+    tokens = "".join(chr(SYMBOL + rank[bytes([i])]) for i in range(256))
+
+    def joined(pair: Column) -> Column:
+        slot = F.pmod(F.xxhash64(pair), F.lit(BUCKETS)).cast("int")
+        return F.coalesce(F.try_element_at(F.get(table, slot), pair), none)
+
+    def least(r: Column) -> Column:
+        return F.array_min(F.split(r, ""))
+
     n = F.octet_length(word)
-    nothing = F.lit(None).cast("binary")
-    parts = F.concat(F.array(nothing), F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1))))
-    pairs = F.transform(
-        F.sequence(F.lit(0), n), lambda i: F.when((i > 0) & (i < n), rank(F.substring(word, i, F.lit(2)))).otherwise(none)
-    )
-    start = _let(pairs, lambda r: F.struct(parts.alias("p"), r.alias("r"), F.array_min(r).alias("m")))
+    start_p = F.concat(F.lit(EDGE), F.translate(F.decode(word, "ISO-8859-1"), latin, tokens), F.lit(EDGE))
+    start_r = lambda p: F.array_join(F.transform(F.sequence(F.lit(1), n + 1), lambda i: joined(F.substring(p, i, F.lit(2)))), "")
+    state = lambda p, r: _let(r, lambda q: F.struct(p.alias("p"), q.alias("r"), least(q).alias("m")))
+    start = _let(start_p, lambda p: state(p, start_r(p)))
 
     def merge(s: Column) -> Column:
-        p, r = s["p"], s["r"]
-
-        def put(at: Column) -> Column:
-            def join(j: Column) -> Column:
-                rest = F.lit(LONG_WORD + 2)
-                new_p = F.concat(F.slice(p, F.lit(1), at - 1), F.array(j), F.slice(p, at + 2, rest))
-                around = F.array(rank(F.concat(F.get(p, at - 2), j)), rank(F.concat(j, F.get(p, at + 1))))
-                new_r = F.concat(F.slice(r, F.lit(1), at - 2), around, F.slice(r, at + 2, rest))
-                return _let(new_r, lambda q: F.struct(new_p.alias("p"), q.alias("r"), F.array_min(q).alias("m")))
+        def at(i: Column) -> Column:
+            def around(p: Column) -> Column:
+                two = F.concat(joined(F.substring(p, i - 1, F.lit(2))), joined(F.substring(p, i, F.lit(2))))
+                return state(p, F.overlay(s["r"], two, i - 1, 3))
 
-            return _let(F.concat(F.get(p, at - 1), F.get(p, at)), join)
+            return _let(F.overlay(s["p"], s["m"], i, 2), around)
 
-        return _let(F.array_position(r, s["m"]).cast("int"), put)
+        return _let(F.instr(s["r"], s["m"]), at)
 
     steps = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
     folded = F.aggregate(steps, start, lambda s, _: F.when(s["m"] == none, s).otherwise(merge(s)), lambda s: s["p"])
-    merged = F.transform(F.slice(folded, F.lit(2), F.lit(LONG_WORD)), lambda t: _rank(table, t))
-    return _let(_rank(table, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged))
+    symbols = lambda t: F.transform(F.slice(t, F.lit(2), F.size(t) - 2), lambda c: F.ascii(c) - SYMBOL)
+    return _let(F.split(folded, ""), symbols)
 
 
 def long_word(word: bytes, rank: dict[bytes, int]) -> list[int]:
@@ -251,7 +275,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     kind = slim.schema["doc_id"].dataType.simpleString()
     table = F.expr(rank_map(spark, path))
     words = slim.mapInArrow(_distinct(pattern), WORDS.format(kind=kind))
-    short = lambda w: F.when(F.octet_length(w) <= LONG_WORD, fold(w, table))
+    short = lambda w: F.when(F.octet_length(w) <= LONG_WORD, fold(w, table, path))
     coded = words.withColumn("coded", F.transform("words", short))
     from pyspark.sql.pandas.types import to_arrow_type
 
