@@ -36,10 +36,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Rows repeated under one doc_id get the largest number of copies of any of them.
     """
-    served = mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    served = materialize(served.withColumnRenamed("doc_id", "__id"), "served-documents")
-    found = docs.join(sized(served), docs["doc_id"].eqNullSafe(F.col("__id")))
-    return found.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    served = mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
+    found = docs.alias("d").join(sized(materialize(served, "served-documents")).alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")))
+    each = F.explode(F.array_repeat(F.struct("d.*"), F.col("m.copies"))).alias("doc")
+    return found.select(each).select("doc.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

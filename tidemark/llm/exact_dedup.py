@@ -132,11 +132,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .filter("not __stays or __n > 1")
     )
     marks = materialize(pairs.withColumnsRenamed({"doc_id": "__id", "text_sha256": "__sha"}), "copies")
-    found = docs.join(
-        sized(marks),
-        F.col("__id").eqNullSafe(docs[id_col]) & (F.sha2(normalised(docs[text_col]), 256) == F.col("__sha")),
-        "left",
-    )
-    own = found.filter("__sha is null").select(*docs.columns)
-    repeated = found.filter("__stays").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
-    return own.unionByName(repeated)
+    id_, text = F.col(f"d.{id_col}"), F.col(f"d.{text_col}")
+    same = F.col("m.__id").eqNullSafe(id_) & (F.sha2(normalised(text), 256) == F.col("m.__sha"))
+    found = docs.alias("d").join(sized(marks).alias("m"), same, "left")
+    own = found.filter("m.__sha is null").select("d.*")
+    # One of each set of equal rows: whole documents as a struct, so no column name clashes.
+    repeated = found.filter("m.__stays").select(F.struct("d.*").alias("doc"), F.col("m.__id").alias("i"), F.col("m.__sha").alias("h"))
+    return own.unionByName(repeated.dropDuplicates(["i", "h"]).select("doc.*"))
