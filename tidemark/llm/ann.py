@@ -84,6 +84,8 @@ class Forest:
             mark = np.zeros(n, bool)
             for t in range(len(self.planes)):
                 mark[self.order[t, lo[t, i] : hi[t, i]]] = True
+            if mark.sum() < min(n, 4 * k):  # all trees at the same few rows: the root holds the rest
+                mark[:] = True
             c = np.flatnonzero(mark)
             s = self.x[c] @ q[i]
             if len(c) > k:
