@@ -5,6 +5,7 @@ Money adds prices as decimals rounded to cents, so sums don't depend on the orde
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,11 +121,16 @@ def _quintile(n: Column, rank: Column) -> Column:
 
 
 def rfm(ev: DataFrame) -> DataFrame:
-    """Scores 1..5 of purchasing users. Ties go by user_id."""
+    """Scores 1..5 of purchasing users. Ties go by user_id.
+
+    The base (one row for each purchaser) is read four times, so it is cached on first use
+    (memory, else disk); staging behind it is computed once.
+    """
     last = ev.agg(F.max("event_time").alias("newest"))
     base = purchases(ev).groupBy("user_id").agg(
         F.max("event_time").alias("last"), F.count("*").alias("frequency"), money().alias("monetary")
     ).join(F.broadcast(last), F.lit(True)).select("user_id", D.day_steps("last", "newest").alias("recency"), "frequency", "monetary")
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     keys = {"recency": F.col("recency"), "frequency": -F.col("frequency"), "monetary": -F.col("monetary")}
     scored = _scores(base, keys)
     total = F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score")
