@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.dates import bin_start
 from tidemark.schema import RAW_COLUMNS
 
-#: The order matters: a later step sees what earlier ones filled.
+#: Imputation steps. The order matters: a later step sees what earlier ones filled.
 IMPUTE_STEPS = (
     ("product_id", "category_code"),
     ("category_id", "category_code"),

@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates as D
 
 
+#: Least total of a value tier, and names of tiers and customer segments.
+HIGH_FROM, MID_FROM = 12, 8
+HIGH, MID, LOW = "High-Value", "Mid-Value", "Low-Value"
+INACTIVE, AT_RISK, VIP = "Inactive Customer", "At-Risk Customer", "VIP Customer"
+LOYAL, CORE = "Potential Loyalist", "Core Customer"
+
+
 def money(price: Column | str = "price") -> Column:
     c = F.col(price) if isinstance(price, str) else price
     return F.sum(F.round(c, 2).cast("decimal(18,2)")).cast("double")
@@ -138,9 +145,8 @@ def rfm(ev: DataFrame) -> DataFrame:
     all_at = lambda k: (r >= k) & (f >= k) & (m >= k)
     return scored.withColumns({
         "rfm_total": total,
-        "rfm_value_segment": F.when(total >= 12, "High-Value").when(total >= 8, "Mid-Value").otherwise("Low-Value"),
-        "customer_segment": F.when(r == 1, "Inactive Customer").when(r == 2, "At-Risk Customer").when(all_at(4), "VIP Customer")
-        .when(all_at(3), "Potential Loyalist").otherwise("Core Customer"),
+        "rfm_value_segment": F.when(total >= HIGH_FROM, HIGH).when(total >= MID_FROM, MID).otherwise(LOW),
+        "customer_segment": F.when(r == 1, INACTIVE).when(r == 2, AT_RISK).when(all_at(4), VIP).when(all_at(3), LOYAL).otherwise(CORE),
     })
 
 

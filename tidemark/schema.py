@@ -11,6 +11,7 @@ def _struct(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
 
 
+# Names, order and types of the tables' columns.
 EVENT_CSV = _struct(
     event_time=_S, event_type=_S, product_id=_S, category_id=_S, category_code=_S, brand=_S, price=T.DoubleType(), user_id=_S, user_session=_S
 )
