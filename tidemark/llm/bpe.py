@@ -2,8 +2,10 @@
 
 Encoding, in one stage without a shuffle:
 
-1. Batches of documents are cut into pieces by the tokenizer's pattern, and each batch is
-   brought to its distinct words; documents become indices into them.
+1. Batches of documents are cut into pieces by the tokenizer's pattern and brought to their
+   distinct words; documents become indices into them. A task numbers the words of all its
+   batches together and sends each word once (until MAX_PARTS parts fill the numbering, which
+   bounds memory; then it begins anew).
 2. Spark higher-order functions fold the ranked merges over the bytes of each distinct word:
    the state holds its tokens, at first one for each byte, and the ranks of neighbouring
    pairs; a step joins the leftmost pair of lowest rank and looks up the two new pairs. Both
@@ -29,21 +31,24 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 BUCKETS = 65_536
 LONG_WORD = 1_024
-#: Code points that stand for tokens begin here; no text is ever read as these.
-SYMBOL = 0x10000
 EDGE, NONE = chr(0x10FFFE), chr(0x10FFFF)
-BATCH_CHARS = 32_000_000
+BATCH_CHARS = 4_000_000
+MAX_PARTS = 500_000
 _declared: WeakKeyDictionary[SparkSession, set[str]] = WeakKeyDictionary()
 APART = re.compile(r"(?<=\S) (?=\S)")
 UNEVEN = re.compile(r"\s |  | \s|^ | $")
@@ -55,19 +60,23 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _pairs(path: str) -> pa.Table:
-    """Every pair of tokens whose bytes together are a token, with that token's rank.
+def symbol_base(rank: dict[bytes, int]) -> int:
+    """The token of rank r is written as code point base + r: below the surrogates (short in
+    UTF-8) if the vocabulary fits there, else above them."""
+    return 0x100 if max(rank.values()) + 0x100 < 0xD800 else 0x10000
 
-    Tokens are written as characters: the one of rank r is code point SYMBOL + r.
-    """
+
+def _pairs(path: str) -> pa.Table:
+    """Every pair of tokens whose bytes together are a token, with that token, as characters."""
     rank = ranks(path)
+    base = symbol_base(rank)
     pair, joined = [], []
     for token, r in rank.items():
         for cut in range(1, len(token)):
             a, b = rank.get(token[:cut]), rank.get(token[cut:])
             if a is not None and b is not None:
-                pair.append(chr(SYMBOL + a) + chr(SYMBOL + b))
-                joined.append(chr(SYMBOL + r))
+                pair.append(chr(base + a) + chr(base + b))
+                joined.append(chr(base + r))
     return pa.table({"pair": pa.array(pair, pa.string()), "joined": pa.array(joined, pa.string())})
 
 
@@ -100,32 +109,28 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fold(word: Column, table: Column, path: str) -> Column:
-    """array<int> of the ids of one word (binary, at most LONG_WORD bytes): a fold of merges.
+def start(word: bytes, token: list[str], two: dict[bytes, str]) -> tuple[str, str]:
+    """A word's state before any merge: its bytes as tokens between edges, and its pairs."""
+    p = EDGE + "".join([token[b] for b in word]) + EDGE
+    return p, NONE + "".join([two.get(word[i : i + 2], NONE) for i in range(len(word) - 1)]) + NONE
 
-    The word's bytes become a string p of token characters between two EDGE characters. Its
-    companion r holds for every neighbouring pair the character of the token they join to, or
-    NONE; m is the least character in r, the pair of lowest rank. Characters of ranks sort as
-    the ranks do. A step replaces the leftmost such pair in p by its token and the three pairs
-    around it in r by two.
+
+def fold(p: Column, r: Column, table: Column, base: int) -> Column:
+    """array<int> of the ids of one word: a fold of ranked merges.
+
+    p is the word as token characters between two EDGE characters. Its companion r holds for
+    every neighbouring pair the character of the token they join to, or NONE; m is the least
+    character in r, the pair of lowest rank, as characters sort by rank. A step replaces the
+    leftmost such pair in p by its token and the three pairs around it in r by two.
     """
-    rank = ranks(path)
     none = F.lit(NONE)
-    latin = "".join(map(chr, range(256)))
-    tokens = "".join(chr(SYMBOL + rank[bytes([i])]) for i in range(256))
 
     def joined(pair: Column) -> Column:
         slot = F.pmod(F.xxhash64(pair), F.lit(BUCKETS)).cast("int")
         return F.coalesce(F.try_element_at(F.get(table, slot), pair), none)
 
-    def least(r: Column) -> Column:
-        return F.array_min(F.split(r, ""))
-
-    n = F.octet_length(word)
-    start_p = F.concat(F.lit(EDGE), F.translate(F.decode(word, "ISO-8859-1"), latin, tokens), F.lit(EDGE))
-    start_r = lambda p: F.array_join(F.transform(F.sequence(F.lit(1), n + 1), lambda i: joined(F.substring(p, i, F.lit(2)))), "")
-    state = lambda p, r: _let(r, lambda q: F.struct(p.alias("p"), q.alias("r"), least(q).alias("m")))
-    start = _let(start_p, lambda p: state(p, start_r(p)))
+    def state(p: Column, r: Column) -> Column:
+        return _let(r, lambda q: F.struct(p.alias("p"), q.alias("r"), F.array_min(F.split(q, "")).alias("m")))
 
     def merge(s: Column) -> Column:
         def at(i: Column) -> Column:
@@ -137,9 +142,9 @@ def fold(word: Column, table: Column, path: str) -> Column:
 
         return _let(F.instr(s["r"], s["m"]), at)
 
-    steps = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
-    folded = F.aggregate(steps, start, lambda s, _: F.when(s["m"] == none, s).otherwise(merge(s)), lambda s: s["p"])
-    symbols = lambda t: F.transform(F.slice(t, F.lit(2), F.size(t) - 2), lambda c: F.ascii(c) - SYMBOL)
+    steps = F.sequence(F.lit(1), F.greatest(F.char_length(r) - 2, F.lit(1)))
+    folded = F.aggregate(steps, state(p, r), lambda s, _: F.when(s["m"] == none, s).otherwise(merge(s)), lambda s: s["p"])
+    symbols = lambda t: F.transform(F.slice(t, F.lit(2), F.size(t) - 2), lambda c: F.ascii(c) - base)
     return _let(F.split(folded, ""), symbols)
 
 
@@ -174,112 +179,151 @@ def parts_of(text: str) -> list[str]:
     return [cut[0], *[" " + x for x in cut[1:]]]
 
 
-WORDS = "ids array<{kind}>, at array<int>, parts array<int>, part_ends array<int>, words array<binary>, part_words array<int>"
+WORDS = (
+    "fresh boolean, ids array<{kind}>, at array<int>, parts array<int>, part_ends array<int>, part_words array<int>, "
+    "starts array<struct<p string, r string>>, long_words array<binary>"
+)
+
 
+def _distinct(pattern: str, rank: dict[bytes, int], batch_chars: int, max_parts: int):
+    """A row for each batch: documents as part numbers, parts as word numbers, words at the
+    start of their fold (long words as bytes instead)."""
+    base = symbol_base(rank)
+    token = [chr(base + rank[bytes([i])]) for i in range(256)]
+    two = {t: chr(base + r) for t, r in rank.items() if len(t) == 2}
 
-def _distinct(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
+        state = pa.struct([("p", pa.string()), ("r", pa.string())])
         ids: list = []
-        ends: list[int] = []
+        ends, stream = array("i"), array("i")
         seen: dict[str, int] = {}
-        stream: list[np.ndarray] = []
-        chars = total = 0
+        words: dict[str, int] = {}
+        fresh, sent_parts, sent_words, chars = True, 0, 0, 0
         kind = None
 
         def out() -> pa.RecordBatch:
-            words: dict[str, int] = {}
-            flat: list[int] = []
-            part_ends: list[int] = []
-            for p in seen:
-                flat += [words.setdefault(w, len(words)) for w in find(p)]
+            flat, part_ends = array("i"), array("i")
+            for p in islice(seen, sent_parts, None):
+                flat.extend([words.setdefault(w, len(words)) for w in find(p)])
                 part_ends.append(len(flat))
-            one = lambda a, t: pa.array([a], pa.list_(t))
-            parts = np.concatenate(stream) if stream else np.zeros(0, np.int32)
-            row = [
-                one(ids, kind), one(ends, pa.int32()), one(parts, pa.int32()), one(part_ends, pa.int32()),
-                one([w.encode() for w in words], pa.binary()), one(flat, pa.int32()),
-            ]
-            return pa.RecordBatch.from_arrays(row, ["ids", "at", "parts", "part_ends", "words", "part_words"])
+            ps, rs, long_words = [], [], []
+            for w in islice(words, sent_words, None):
+                b = w.encode()
+                p, r = start(b, token, two) if len(b) <= LONG_WORD else (None, None)
+                ps.append(p)
+                rs.append(r)
+                long_words.append(b if p is None else None)
+            starts = pa.StructArray.from_arrays(
+                [pa.array(ps, pa.string()), pa.array(rs, pa.string())], fields=list(state), mask=pa.array([p is None for p in ps], pa.bool_())
+            )
+
+            def one(a: pa.Array) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+
+            ints = lambda a: pa.array(np.array(a, np.int32))
+            row = [pa.array(ids, kind), ints(ends), ints(stream), ints(part_ends), ints(flat), starts, pa.array(long_words, pa.binary())]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([fresh]), *[one(a) for a in row]], ["fresh", "ids", "at", "parts", "part_ends", "part_words", "starts", "long_words"]
+            )
 
         for b in batches:
             kind = b.schema.field("doc_id").type
             for i, t in zip(b["doc_id"], b["text"], strict=True):
                 text = t.as_py() or ""
-                p = [seen.setdefault(x, len(seen)) for x in parts_of(text)]
-                stream.append(np.array(p, np.int32))
-                total += len(p)
+                stream.extend([seen.setdefault(x, len(seen)) for x in parts_of(text)])
                 ids.append(i.as_py())
-                ends.append(total)
+                ends.append(len(stream))
                 chars += len(text)
-                if chars >= BATCH_CHARS:
+                if chars >= batch_chars:
                     yield out()
-                    ids, ends, seen, stream, chars, total = [], [], {}, [], 0, 0
+                    fresh, sent_parts, sent_words = False, len(seen), len(words)
+                    if len(seen) > max_parts:
+                        seen, words = {}, {}
+                        fresh, sent_parts, sent_words = True, 0, 0
+                    ids, ends, stream, chars = [], array("i"), array("i"), 0
         if ids:
             yield out()
 
     return run
 
 
-def _gather(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ragged take: the lists ``rows`` one after the other, and where each ends."""
-    begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    size = (ends - begins)[rows]
-    to = np.cumsum(size)
-    at = np.arange(int(to[-1]) if len(to) else 0) + np.repeat(begins[rows] - (to - size), size)
-    return values[at], to
+class _Lists:
+    """Growing ragged array of ids."""
+
+    def __init__(self) -> None:
+        self.values, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.ends = np.concatenate([self.ends, len(self.values) + np.cumsum(sizes, dtype=np.int64)])
+        self.values = np.concatenate([self.values, np.asarray(values, np.int32)])
 
-def _assemble(path: str, kind: pa.DataType):
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists ``rows`` one after the other, and where each ends."""
+        if not len(rows):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        begins = np.concatenate([[0], self.ends[:-1]])[rows]
+        size = self.ends[rows] - begins
+        to = np.cumsum(size)
+        return self.values[np.arange(to[-1]) + np.repeat(begins - (to - size), size)], to
+
+
+def _assemble(rank: dict[bytes, int], kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, parts = _Lists(), _Lists()
         for b in batches:
             for r in range(len(b)):
                 get = lambda c: b[c][r].values  # noqa: B023, E731
-                num = lambda c: get(c).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+                num = lambda c: get(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                if b["fresh"][r].as_py():
+                    words, parts = _Lists(), _Lists()
                 coded = get("coded")
-                if not coded.null_count:
-                    ends = coded.offsets.to_numpy()[1:].astype(np.int64) - coded.offsets[0].as_py() if len(coded) else np.zeros(0, np.int64)
-                    values = coded.flatten().to_numpy(zero_copy_only=False)
-                else:  # long words
-                    table = ranks(path)
-                    lists = [long_word(w.as_py(), table) if not c.is_valid else c.as_py() for c, w in zip(coded, get("words"), strict=True)]
-                    ends = np.cumsum([len(x) for x in lists]).astype(np.int64)
-                    values = np.concatenate([np.array(x, np.int64) for x in lists])
-                part_values, part_word_ends = _gather(values, ends, num("part_words"))
-                if len(part_word_ends):
-                    stops = np.concatenate([[0], part_word_ends])
-                    part_ends = stops[num("part_ends")]
-                else:
-                    part_ends = np.zeros(0, np.int64)
-                stream, at = num("parts"), num("at")
+                sizes = np.nan_to_num(pc.list_value_length(coded).to_numpy(zero_copy_only=False)).astype(np.int64)
+                values = coded.flatten().to_numpy(zero_copy_only=False)
+                if coded.null_count:
+                    lists = np.split(values, np.cumsum(sizes)[:-1])
+                    for at in np.flatnonzero(coded.is_null().to_numpy(zero_copy_only=False)):
+                        lists[at] = np.array(long_word(get("long_words")[at].as_py(), rank), np.int32)
+                    sizes, values = np.array([len(x) for x in lists]), np.concatenate(lists)
+                words.add(values, sizes)
+                values, word_ends = words.take(num("part_words"))
+                parts.add(values, np.diff(np.concatenate([[0], np.concatenate([[0], word_ends])[num("part_ends")]])))
+                stream, at = num("parts"), num("at").astype(np.int64)
                 ids = get("ids")
-                lo, start = 0, 0
+                lo, begin = 0, 0
                 while lo < len(at):  # documents in runs of bounded size
-                    hi = max(lo + 1, int(np.searchsorted(at, start + 500_000, side="right")))
-                    out, ends_ = _gather(part_values, part_ends, stream[start : at[hi - 1]])
-                    bounds = np.concatenate([[0], ends_])[at[lo:hi] - start]
+                    hi = max(lo + 1, int(np.searchsorted(at, begin + 250_000, side="right")))
+                    out, stops = parts.take(stream[begin : at[hi - 1]])
+                    bounds = np.concatenate([[0], stops])[at[lo:hi] - begin]
                     offsets = pa.array(np.concatenate([[0], bounds]).astype(np.int32))
                     lists_ = pa.ListArray.from_arrays(offsets, pa.array(out.astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).cast(kind), lists_], ["doc_id", "ids"])
-                    lo, start = hi, int(at[hi - 1])
+                    lo, begin = hi, int(at[hi - 1])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    batch_chars: int = BATCH_CHARS,
+    max_parts: int = MAX_PARTS,
+) -> DataFrame:
     """doc_id, ids (array<int>) for every row of docs."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    table = F.expr(rank_map(spark, path))
-    words = slim.mapInArrow(_distinct(pattern), WORDS.format(kind=kind))
-    short = lambda w: F.when(F.octet_length(w) <= LONG_WORD, fold(w, table, path))
-    coded = words.withColumn("coded", F.transform("words", short))
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return coded.mapInArrow(_assemble(path, to_arrow_type(slim.schema["doc_id"].dataType)), f"doc_id {kind}, ids array<int>")
+    kind = slim.schema["doc_id"].dataType
+    rank = ranks(path)
+    table, base = F.expr(rank_map(spark, path)), symbol_base(rank)
+    words = slim.mapInArrow(_distinct(pattern, rank, batch_chars, max_parts), WORDS.format(kind=kind.simpleString()))
+    short = lambda w: F.when(w.isNotNull(), fold(w["p"], w["r"], table, base))
+    coded = words.select("fresh", "ids", "at", "parts", "part_ends", "part_words", "long_words", F.transform("starts", short).alias("coded"))
+    return coded.mapInArrow(_assemble(rank, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, ids array<int>")
 
 
 def pieces(spark: SparkSession, path: str) -> Column:
