@@ -48,7 +48,7 @@ BUCKETS = 65_536
 LONG_WORD = 1_024
 EDGE, NONE = chr(0x10FFFE), chr(0x10FFFF)
 BATCH_CHARS = 4_000_000
-MAX_PARTS = 500_000
+MAX_PARTS = 300_000
 _declared: WeakKeyDictionary[SparkSession, set[str]] = WeakKeyDictionary()
 APART = re.compile(r"(?<=\S) (?=\S)")
 UNEVEN = re.compile(r"\s |  | \s|^ | $")
@@ -115,8 +115,8 @@ def start(word: bytes, token: list[str], two: dict[bytes, str]) -> tuple[str, st
     return p, NONE + "".join([two.get(word[i : i + 2], NONE) for i in range(len(word) - 1)]) + NONE
 
 
-def fold(p: Column, r: Column, table: Column, base: int) -> Column:
-    """array<int> of the ids of one word: a fold of ranked merges.
+def fold(p: Column, r: Column, table: Column) -> Column:
+    """One word's tokens as characters between edges: a fold of ranked merges.
 
     p is the word as token characters between two EDGE characters. Its companion r holds for
     every neighbouring pair the character of the token they join to, or NONE; m is the least
@@ -143,9 +143,14 @@ def fold(p: Column, r: Column, table: Column, base: int) -> Column:
         return _let(F.instr(s["r"], s["m"]), at)
 
     steps = F.sequence(F.lit(1), F.greatest(F.char_length(r) - 2, F.lit(1)))
-    folded = F.aggregate(steps, state(p, r), lambda s, _: F.when(s["m"] == none, s).otherwise(merge(s)), lambda s: s["p"])
-    symbols = lambda t: F.transform(F.slice(t, F.lit(2), F.size(t) - 2), lambda c: F.ascii(c) - base)
-    return _let(F.split(folded, ""), symbols)
+    return F.aggregate(steps, state(p, r), lambda s, _: F.when(s["m"] == none, s).otherwise(merge(s)), lambda s: s["p"])
+
+
+def unfold(folded: pa.StringArray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of folded words, and how many each has; a null has none."""
+    sizes = np.maximum(pc.fill_null(pc.utf8_length(folded), 2).to_numpy(zero_copy_only=False) - 2, 0).astype(np.int64)
+    symbols = np.frombuffer("".join(x for x in folded.to_pylist() if x).encode("utf-32-le"), np.uint32)
+    return (symbols[symbols != ord(EDGE)].astype(np.int64) - base).astype(np.int32), sizes
 
 
 def long_word(word: bytes, rank: dict[bytes, int]) -> list[int]:
@@ -271,6 +276,8 @@ class _Lists:
 
 
 def _assemble(rank: dict[bytes, int], kind: pa.DataType):
+    base = symbol_base(rank)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, parts = _Lists(), _Lists()
         for b in batches:
@@ -280,8 +287,7 @@ def _assemble(rank: dict[bytes, int], kind: pa.DataType):
                 if b["fresh"][r].as_py():
                     words, parts = _Lists(), _Lists()
                 coded = get("coded")
-                sizes = np.nan_to_num(pc.list_value_length(coded).to_numpy(zero_copy_only=False)).astype(np.int64)
-                values = coded.flatten().to_numpy(zero_copy_only=False)
+                values, sizes = unfold(coded, base)
                 if coded.null_count:
                     lists = np.split(values, np.cumsum(sizes)[:-1])
                     for at in np.flatnonzero(coded.is_null().to_numpy(zero_copy_only=False)):
@@ -319,9 +325,9 @@ def encode(
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType
     rank = ranks(path)
-    table, base = F.expr(rank_map(spark, path)), symbol_base(rank)
+    table = F.expr(rank_map(spark, path))
     words = slim.mapInArrow(_distinct(pattern, rank, batch_chars, max_parts), WORDS.format(kind=kind.simpleString()))
-    short = lambda w: F.when(w.isNotNull(), fold(w["p"], w["r"], table, base))
+    short = lambda w: F.when(w.isNotNull(), fold(w["p"], w["r"], table))
     coded = words.select("fresh", "ids", "at", "parts", "part_ends", "part_words", "long_words", F.transform("starts", short).alias("coded"))
     return coded.mapInArrow(_assemble(rank, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, ids array<int>")
 
