@@ -114,6 +114,27 @@ def test_near(spark, percent):
     assert near_dedup.near_groups(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_hub(spark, percent):
+    """Copies that each link to one text but not to each other, in regions far denser than a window."""
+    rng = random.Random(1000 + percent)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    hub = [word() for _ in range(600)]
+    texts = []
+    for _ in range(1000):
+        copy = list(hub)
+        for at in rng.sample(range(600), 9):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    texts.insert(500, " ".join(hub))
+    far = list(hub)  # in the same regions, but linked with nothing
+    for at in range(0, 600, 30):
+        far[at] = word()
+    texts.append(" ".join(far))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs_of(spark, texts), percent).collect()}
+    assert [got[i] for i in range(len(texts))] == [0] * 1001 + [1001]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((600, 16)).astype(np.float32)

@@ -6,13 +6,17 @@
    so a region of any size spans tasks. Neighbours in that order that share a prefix of
    at least ``min_depth`` values are candidates. The depth adapts to the region: around a
    pair, the region at the depth of their common prefix must hold at most ``window`` + 1
-   nodes, then all its pairs are candidates; in denser regions a node meets its ``close``
-   next neighbours and the region's first node, and deeper regions are searched by
-   themselves. Rows at partition ends meet in a second small step.
+   nodes, then all its pairs are candidates; in denser regions a node at first meets its
+   ``close`` next neighbours and the region's first node, and deeper regions are searched
+   by themselves. Rows at partition ends meet in a second small step.
 3. Candidates are confirmed on full sets, in two rounds: first one candidate for each node,
    then all candidates whose two nodes are not connected yet. Links between nodes that are
    connected anyway change nothing, so they aren't compared.
-4. Components of the confirmed links.
+4. A denser region whose nodes aren't all connected by then is compared whole: its nodes are
+   dealt into blocks, and two blocks meet in a task, which counts the common shingles of all
+   their pairs. Only blocks that lie in one component are left out. So all pairs of a region
+   are candidates, whatever its size.
+5. Components of the confirmed links.
 
 Defined cases: texts that are null, empty or white space have an empty set and are linked
 with nothing. Texts of fewer than five words have one shingle, the whole sequence. Rows
@@ -34,9 +38,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, n_shuffle, sized
 from tidemark.llm.components import components
+from tidemark.llm.mixing import running_sum
 from tidemark.llm.shingles import chunks, mix, shingle_sets
 
 VALUES, TREES, DEPTH = 64, 16, 8
+MIN_DEPTH, WINDOW = 4, 32
+#: Shingles of a block of a dense region (each node counts NODE more), columns of its matrix.
+BLOCK, NODE, COLUMNS = 250_000, 256, 2_048
 _rng = np.random.default_rng(85)
 _MUL = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _rng.integers(1, 2**63, VALUES, dtype=np.uint64)
@@ -179,7 +187,7 @@ def _pairs(a: np.ndarray, b: np.ndarray, names: list[str]) -> pa.RecordBatch:
     )
 
 
-def candidates(nodes: DataFrame, min_depth: int = 4, window: int = 32, close: int = 4) -> DataFrame:
+def candidates(nodes: DataFrame, min_depth: int = MIN_DEPTH, window: int = WINDOW, close: int = 4) -> DataFrame:
     """Distinct pairs a < b of nodes that are neighbours in some tree.
 
     nodes: node, signature.
@@ -219,19 +227,114 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ).select("a", "b")
 
 
+def crowds(nodes: DataFrame) -> DataFrame:
+    """region, node, n of the regions of MIN_DEPTH values that hold over WINDOW + 1 nodes.
+
+    A region goes by a hash of its tree and values; two that share one are compared as one.
+    """
+    prefix = f"substring(signature, {4 * 4} * t + 1, {4 * MIN_DEPTH})"  # tree t begins with value 4 t
+    each = nodes.select("node", "n", F.expr(f"explode(transform(sequence(0, {TREES - 1}), t -> xxhash64(t, {prefix})))").alias("region"))
+    dense = materialize(each.groupBy("region").count().filter(F.col("count") > WINDOW + 1).select("region"), "dense")
+    return materialize(each.join(sized(dense), "region").select("region", "node", "n"), "crowds")
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """The links a, b less those that close a circle."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up, kept = list(range(len(ids))), []
+    for x, y in np.unique(at.reshape(2, -1), axis=1).T.tolist():
+        p, q = x, y
+        while up[p] != p:
+            up[p] = p = up[up[p]]
+        while up[q] != q:
+            up[q] = q = up[up[q]]
+        if p != q:
+            up[q] = p
+            kept.append((x, y))
+    got = ids[np.array(kept, np.int64).reshape(-1, 2)]
+    return pa.table({"a": pa.array(got[:, 0], pa.int64()), "b": pa.array(got[:, 1], pa.int64())})
+
+
+def common_shingles(values: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(left, right) sizes of the intersections of sets. owner: the set of each value; left, right: sets."""
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    column, owner = (np.cumsum(count > 1) - 1)[column[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    inter = np.zeros((len(left), len(right)))
+    for c in range(0, int((count > 1).sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [c, c + COLUMNS])
+        has = np.zeros((max(left.max(), right.max()) + 1, COLUMNS), np.float32)
+        has[owner[lo:hi], column[lo:hi] - c] = 1
+        inter += has[left] @ has[right].T
+    return inter
+
+
+def crowd_links(crowd: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between components of comp (or nodes outside it) that share a dense region."""
+    at = comp.select("node", "root")
+    placed = crowd.join(sized(at), "node", "left").select("region", F.coalesce("root", "node").alias("comp"), "node", (F.col("n") + NODE).alias("weight"))
+    split = placed.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("region")
+    split = materialize(split, "split-regions")
+    open_ = materialize(placed.join(sized(split), "region"), "open")
+    dealt = running_sum(open_, ["region", "comp", "node"], "weight", ["region"], "upto").select(
+        "region", "comp", "node", F.floor((F.col("upto") - F.col("weight")) / BLOCK).alias("block")
+    )
+    dealt = materialize(dealt, "dealt")
+    blocks = materialize(dealt.groupBy("region", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "blocks")
+    end = lambda c: blocks.select("region", F.col("block").alias(c), F.col("lo").alias(f"lo{c}"), F.col("hi").alias(f"hi{c}"))
+    meets = materialize(
+        end("i").join(end("j"), "region").filter("i <= j and least(loi, loj) < greatest(hii, hij)").select("region", "i", "j"), "meets"
+    )
+    sent = (
+        meets.select("region", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        .join(dealt, ["region", "block"]).join(sets, "node").select("region", "i", "j", "block", "comp", "members")
+    )
+
+    def meet(t: pa.Table) -> pa.Table:
+        members = t["members"].combine_chunks()
+        n = members.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        block, comp_ = t["block"].to_numpy(), t["comp"].to_numpy()
+        left, right = np.flatnonzero(block == t["i"][0].as_py()), np.flatnonzero(block == t["j"][0].as_py())
+        if not len(left) or not len(right):
+            return _forest(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        inter = common_shingles(members.flatten().to_numpy(), np.repeat(np.arange(len(n)), n), left, right)
+        linked = (100 * inter >= percent * (n[left][:, None] + n[right] - inter)) & (comp_[left][:, None] != comp_[right])
+        x, y = np.nonzero(linked)
+        return _forest(comp_[left[x]], comp_[right[y]])
+
+    return sent.groupBy("region", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (node, root) after further links a, b."""
+    if not links.limit(1).count():
+        return comp
+    at = lambda c: comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    over = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")
+    )
+    top = components(over).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    raised = materialize(top, "raised")
+    old = comp.alias("r").join(sized(raised), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = raised.join(comp.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return materialize(old.unionByName(new), "components")
+
+
 def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """doc_id, n_shingles, node, second, component_id, kept for every row of docs."""
     rows = materialize(shingled(docs, id_col, text_col, False, k), "signatures")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id"))
     nodes = materialize(
         rows.filter("n > 0").groupBy("node", "second", "n").agg(low.alias("low"), F.first("signature").alias("signature"))
-        .select("node", F.col("low.doc_id").alias("low_id"), "signature"),
+        .select("node", "n", F.col("low.doc_id").alias("low_id"), "signature"),
         "nodes",
     )
     pairs = materialize(candidates(nodes), "candidates")
-    wanted = materialize(
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "low_id"), "node"), "wanted"
-    )
+    crowd = crowds(nodes)
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.select("node")).distinct()
+    wanted = materialize(met.join(nodes.select("node", "low_id"), "node"), "wanted")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     chosen = sized(wanted.select("low_id").distinct())
     texts = slim.join(chosen, F.col("doc_id").eqNullSafe(F.col("low_id")), "left_semi")
@@ -249,17 +352,9 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         .filter("ra is null or rb is null or ra != rb")
     )
     more = materialize(confirmed(rest.select("a", "b"), sets, percent), "more-links")
-    root = comp
-    if more.limit(1).count():
-        r = comp.alias("r")
-        over = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(
-            F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")
-        )
-        top = components(over).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        raised = materialize(top, "raised")
-        old = r.join(sized(raised), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        new = raised.join(comp.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
-        root = materialize(old.unionByName(new), "components")
+    root = joined(comp, more)
+    if crowd.limit(1).count():
+        root = joined(root, materialize(crowd_links(crowd, root, sets, percent), "crowd-links"))
     full = nodes.join(sized(root), "node", "left").select("node", "low_id", F.coalesce("root", "node").alias("root"))
     least = full.join(sized(root.select("node")), "node", "left_semi").groupBy("root").agg(F.min("low_id").alias("component_id"))
     named = materialize(full.join(sized(materialize(least, "least")), "root", "left").select("node", F.coalesce("component_id", "low_id").alias("component_id")), "named")
