@@ -163,6 +163,19 @@ def test_nearest(spark):
     assert ann.nearest(df.filter("false")).count() == 0
 
 
+def test_nearest_with_a_repeated_id(spark):
+    """One id's rows fill neither its class nor its list."""
+    x = np.random.default_rng(6).standard_normal((60, 16)).round(3)
+    x[20:39] = x[20]  # ids 20 to 38 share a vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist())] * 100 + [(25, x[20].tolist())] * 2
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=20).collect()
+    for q in (0, 20, 40):
+        want = sorted((-float(np.dot(v, x[q])), i) for i, v in rows if i != q)[:20]
+        found = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [i for _, i, _ in found] == [i for _, i in want]
+        assert all(abs(s + w) < 1e-9 for (*_, s), (w, _) in zip(found, want, strict=True))
+
+
 def test_mixing(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(["w"] * rng.randint(0, 40)), None, rng.choice(["a", "b", "c", "d", None, "hot", "hot", "hot"])) for i in range(600)]

@@ -16,8 +16,9 @@ the best k + 1 of each query, which are merged per query. Memory for a task is b
 the two sizes. Queries are a stated set (ids divisible by ``every``).
 
 Vectors that are equal form one class, which is searched once; of a class only the k + 1
-smallest ids can be in any result, and a distributed running count finds those, whatever
-the size of the class. So hot vectors need no cap that would lose rows.
+smallest distinct ids can be in any result, each with the count of its rows, and a
+distributed running count finds those, whatever the size of the class. So hot vectors need
+no cap that would lose rows. The list of a query vector also goes by distinct ids.
 
 Defined cases: vectors that are null, empty, zero, hold a null or a non-finite component,
 or whose dimension isn't the most frequent one (the smallest of several) take no part. A
@@ -123,7 +124,8 @@ def nearest(
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = dims["d"] if dims else 0
     rows = rows.filter(F.size("v") == dim)
-    ids = rows.select("key", "vec_id", F.lit(1).cast("long").alias("one"))
+    # Ids of a class are counted once each: the query's own id may be among them, its rows don't push out others.
+    ids = rows.groupBy("key", "vec_id").agg(F.least(F.count("*"), F.lit(k)).alias("copies")).withColumn("one", F.lit(1).cast("long"))
     members = materialize(running_sum(ids, ["key", "vec_id"], "one", ["key"], "nth").filter(F.col("nth") <= k + 1), "members")
     asked = rows.filter(F.col("vec_id") % every == 0)
     classes = materialize(rows.groupBy("key").agg(F.first("v").alias("v")), "classes")
@@ -154,18 +156,17 @@ def nearest(
     # The k + 1 best classes of each query, with all that tie with the last.
     by_query = Window.partitionBy("qkey").orderBy(F.desc("score"))
     best = hits.withColumn("r", F.rank().over(by_query)).filter(F.col("r") <= k + 1)
-    pairs = best.select("qkey", "key", "score").join(members.select("key", "vec_id"), "key")
-    one = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
-    short = pairs.withColumn("r", F.row_number().over(one)).filter(F.col("r") <= _headroom(k)).select("qkey", "vec_id", "score")
+    pairs = best.select("qkey", "key", "score").join(members.select("key", "vec_id", "copies"), "key")
+    # Down to the first row of the k + 1st distinct id: without any one id, k others stay.
+    of_id = Window.partitionBy("qkey", "vec_id").orderBy(F.desc("score"), "key")
+    listed = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id", "key").rowsBetween(Window.unboundedPreceding, 0)
+    firsts = pairs.withColumn("new", (F.row_number().over(of_id) == 1).cast("int"))
+    short = firsts.withColumn("nth", F.sum("new").over(listed)).filter(F.col("nth") <= k + 1).select("qkey", "vec_id", "score", "copies")
     for_id = asked.select(F.col("key").alias("qkey"), F.col("vec_id").alias("query_id")).distinct()
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         for_id.join(materialize(short, "short"), "qkey").filter("vec_id != query_id")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
         .withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
-
-
-def _headroom(k: int) -> int:
-    """A query drops its own id, once or (if rows repeat) several times, from the list."""
-    return 4 * (k + 1)
