@@ -64,6 +64,15 @@ def test_lines(spark, min_run):
     assert line_dedup.dedup_lines(frame(spark, []), min_run).count() == 0
 
 
+def test_long_lines(spark):
+    long, short = " ".join(f"w{i}" for i in range(60)), "a b c"
+    texts = [long, f"x\n{long}\ny", f"{short}\np\nq", f"{short}\nr\np\nq", long, f"u\n{long}\nv\n {long}\n{long}", short, None, ""]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, texts), long_words=50).collect()}
+    want = [long, "x\ny", f"{short}\np\nq", f"{short}\nr", "", f"u\nv\n {long}", short, None, ""]
+    assert [got[i].text for i in range(len(texts))] == want
+    assert [got[i].n_deleted for i in range(len(texts))] == [0, 1, 0, 2, 1, 2, 0, 0, 0]
+
+
 def shingles(t):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
     return ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}) if w else set()

@@ -15,7 +15,9 @@ min_run lines from each such position is exactly the set of lines covered by max
 repeated runs of min_run lines or more, except the first occurrence. Those are deleted.
 
 Order of positions: doc_id (null last), then row, then line number. A run never crosses a
-document. Empty lines count as lines. A null text has no line and stays null. A document
+document. With ``long_words`` a single line of at least that many words that occurred before
+is a run of its own, whatever stands around it; without it a run of fewer than min_run lines
+stays, however long its lines. Empty lines count as lines. A null text has no line and stays null. A document
 may lose all lines; its text is then empty. Repeated rows are documents of their own: the
 later loses its lines. Extra columns are ignored. An empty table gives an empty result.
 """
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import WORD, materialize
 
 
 def _first_of(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,7 +36,9 @@ def _first_of(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(classes, keys).drop("n", *keys).withColumnRenamed("first", "rank")
 
 
-def repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_lines(
+    docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(rows with id, row number and lines; deleted positions as row, line)."""
     rows = materialize(
         docs.select(
@@ -49,8 +53,13 @@ def repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", te
         F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row", "line").alias("pos"),
         F.xxhash64("s").alias("k1"),
         F.xxhash64(F.lit(1), F.reverse("s"), F.length("s")).alias("k2"),
+        *([] if long_words is None else [(F.regexp_count("s", F.lit(WORD)) >= long_words).alias("long")]),
     )
     active = materialize(_first_of(each, ["k1", "k2"]), "ranks")
+    alone = None
+    if long_words is not None:
+        alone = active.filter("long and pos != rank").select(F.col("pos.row").alias("row"), F.col("pos.line").alias("line"))
+        active = active.drop("long")
     h = 1
     while h < min_run:
         step = min(h, min_run - h)
@@ -63,13 +72,15 @@ def repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", te
     copies = active.filter("pos != rank")
     gone = copies.select(
         F.col("pos.row").alias("row"), F.explode(F.sequence(F.col("pos.line"), F.col("pos.line") + F.lit(min_run - 1))).alias("line")
-    ).distinct()
-    return rows, gone
+    )
+    return rows, (gone if alone is None else gone.unionByName(alone)).distinct()
 
 
-def dedup_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None
+) -> DataFrame:
     """doc_id, n_lines, n_deleted, text (what stays) for every row of docs."""
-    rows, gone = repeated_lines(docs, min_run, id_col, text_col)
+    rows, gone = repeated_lines(docs, min_run, id_col, text_col, long_words)
     per = gone.groupBy("row").agg(F.collect_set("line").alias("gone"))
     both = rows.join(per, "row", "left")
     numbers = F.sequence(F.lit(0), F.size("lines") - 1)
