@@ -225,7 +225,7 @@ def test_bpe_equals_tiktoken(spark, file):
     rng = random.Random(6)
     texts = [
         *ODD, "hello  world\n\n  it's 'quoted' you'll we've  ", "naïve café 日本語 🙂🙂 ①②", " x  y　 z", "  ", " a", "a ", "\r\n\t x",
-        "".join(rng.choice("abcde") for _ in range(6000)), "0" * 3000, "-" * 2500 + " " * 50, "<|endoftext|>", "ab" * 510, "ab" * 514,
+        "".join(rng.choice("abcde") for _ in range(6000)), "0" * 3000, "x" * 100_000, "abc" * 3000, "\n".join(["a b", " c", "d ", "", " "] * 3), "-" * 2500 + " " * 50, "<|endoftext|>", "ab" * 510, "ab" * 514,
         "".join(chr(rng.choice([rng.randint(32, 126), rng.randint(160, 600), rng.randint(0x4E00, 0x4E50), 10, 32])) for _ in range(3000)),
     ]
     ids = bpe.encode(docs_of(spark, texts), path, public.PATTERN)
@@ -233,8 +233,10 @@ def test_bpe_equals_tiktoken(spark, file):
     for i, t in enumerate(texts):
         assert got[i].ids == enc.encode_ordinary(t or ""), i
         assert bytes(got[i].back).decode() == (t or "")
-    # Small batches and a numbering that begins anew give the same ids.
-    again = bpe.encode(docs_of(spark, texts * 2).coalesce(1), path, public.PATTERN, batch_chars=2000, max_parts=50)
+    # Small epochs give the same ids, and so does the pattern over whole texts.
+    again = bpe.encode(docs_of(spark, texts * 2).coalesce(1), path, public.PATTERN, epoch_bytes=2000)
+    assert {r.doc_id % len(texts): r.ids for r in again.collect()} == {i: r.ids for i, r in got.items()}
+    again = bpe.encode(docs_of(spark, texts * 2).coalesce(1), path, f"(?:{public.PATTERN})")
     assert {r.doc_id % len(texts): r.ids for r in again.collect()} == {i: r.ids for i, r in got.items()}
     assert bpe.encode(frame(spark, []), path, public.PATTERN).count() == 0
 

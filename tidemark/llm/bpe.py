@@ -1,23 +1,30 @@
 """Byte-level BPE encoding and decoding.
 
-Encoding, in one stage without a shuffle:
-
-1. Batches of documents are cut into pieces by the tokenizer's pattern and brought to their
-   distinct words; documents become indices into them. A task numbers the words of all its
-   batches together and sends each word once (until MAX_PARTS parts fill the numbering, which
-   bounds memory; then it begins anew).
-2. Spark higher-order functions fold the ranked merges over the bytes of each distinct word:
-   the state holds its tokens, at first one for each byte, and the ranks of neighbouring
-   pairs; a step joins the leftmost pair of lowest rank and looks up the two new pairs. Both
-   are kept as packed strings with a character for each token: joining in Spark arrays took
-   more than twice the time. Ranks come from a literal map, dealt into many small maps by
-   hash because a lookup in one Spark map is a scan.
-3. Documents get their ids through the indices.
-
-Cutting takes a short way: a space between two characters that aren't white space always
-begins a piece and no piece crosses it, so texts are first split there, and the pattern runs
-over distinct parts only. Words longer than LONG_WORD bytes, on which the fold's copies
-would cost the square of the length, go through a heap with the same merge order.
+Encoding:
+
+1. Cutting. A task cuts its texts by the tokenizer's pattern and brings them to distinct words,
+   in epochs of about EPOCH_BYTES of text, which bounds memory. An epoch leaves its documents as
+   streams of word numbers, packed, and its distinct words in buckets by hash. One shuffle takes
+   the words to their buckets and each stream to a place of its epoch.
+2. Folding. A bucket gathers the words of all epochs, so every word of the corpus is folded once.
+   Spark higher-order functions fold the ranked merges over the word's byte array: the state holds
+   its pieces, at first single bytes, and the rank of every neighbouring pair; a step joins the
+   leftmost pair of lowest rank and looks up the two new pairs. Ranks come from a literal map of
+   byte strings, dealt into many small maps by hash because a lookup in one Spark map is a scan.
+3. Each epoch gets the ids of its words back from the buckets and lays them along its streams.
+   Only vocabularies and packed streams move, never texts, and the streams move once: step 2 and
+   this one read the same shuffle, so its rows go to both unfiltered and with all columns.
+
+Words of over WINDOW bytes, on which the fold's copies would cost the square of the length, are
+folded as overlapping windows. Windows are joined at a token that both have at the same place:
+merges on the two sides of a boundary that no merge crosses don't depend on each other, so a
+sequence of tokens is the word's encoding if each neighbouring two are neighbours in an encoding
+of some stretch. Should two windows share no token, the word's merges are made by a heap instead;
+in the same order, with the same ids.
+
+Cutting takes a short way for the patterns in SPACED: a space between two characters that aren't
+white space always begins a piece and no piece crosses it, so texts are first split there, and
+the pattern runs over distinct parts only. For other patterns it runs over whole texts.
 
 Decoding concatenates the ids' byte strings.
 
@@ -29,13 +36,13 @@ is a parameter.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
 from weakref import WeakKeyDictionary
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +51,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-BUCKETS = 65_536
-LONG_WORD = 1_024
-EDGE, NONE = chr(0x10FFFE), chr(0x10FFFF)
-BATCH_CHARS = 4_000_000
-MAX_PARTS = 300_000
+from tidemark.llm.common import n_shuffle
+
+SLOTS = 65_536
+WINDOW, STRIDE = 1_080, 720
+EPOCH_BYTES = 24_000_000
+CHUNK_BYTES, ROW_WORDS = 5_000_000, 4_096
+#: Fixed value: the pattern for which cutting at single spaces is right.
+SPACED = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 _declared: WeakKeyDictionary[SparkSession, set[str]] = WeakKeyDictionary()
-APART = re.compile(r"(?<=\S) (?=\S)")
-UNEVEN = re.compile(r"\s |  | \s|^ | $")
 
 
 @cache
@@ -60,48 +68,40 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def symbol_base(rank: dict[bytes, int]) -> int:
-    """The token of rank r is written as code point base + r: below the surrogates (short in
-    UTF-8) if the vocabulary fits there, else above them."""
-    return 0x100 if max(rank.values()) + 0x100 < 0xD800 else 0x10000
+def _variable(spark: SparkSession, kind: str, path: str, sql_type: str, rows: DataFrame | None, value: str) -> Column:
+    """A session variable, set once in a session. Optimised plans hold its value as a literal."""
+    name = f"bpe_{kind}_" + hashlib.md5(path.encode()).hexdigest()[:12]
+    made = _declared.setdefault(spark, set())
+    if name not in made:
+        rows.createOrReplaceTempView(f"{name}_rows")
+        spark.sql(f"declare or replace variable {name} {sql_type}")
+        spark.sql(f"set var {name} = (select {value} from {name}_rows)")
+        spark.catalog.dropTempView(f"{name}_rows")
+        made.add(name)
+    return F.expr(name)
 
 
-def _pairs(path: str) -> pa.Table:
-    """Every pair of tokens whose bytes together are a token, with that token, as characters."""
+def _vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """token, id: bounded by the vocabulary's file."""
     rank = ranks(path)
-    base = symbol_base(rank)
-    pair, joined = [], []
-    for token, r in rank.items():
-        for cut in range(1, len(token)):
-            a, b = rank.get(token[:cut]), rank.get(token[cut:])
-            if a is not None and b is not None:
-                pair.append(chr(base + a) + chr(base + b))
-                joined.append(chr(base + r))
-    return pa.table({"pair": pa.array(pair, pa.string()), "joined": pa.array(joined, pa.string())})
-
-
-def rank_map(spark: SparkSession, path: str) -> str:
-    """Name of a session variable that holds the ranks of all pairs, in small maps by hash.
-
-    Bounded by the vocabulary; made once in a session. Optimised plans hold its value as a
-    literal.
-    """
-    import hashlib
+    return spark.createDataFrame(pa.table({"token": pa.array(list(rank), pa.binary()), "id": pa.array(list(rank.values()), pa.int32())}))
 
-    name = "bpe_" + hashlib.md5(f"{path}|{BUCKETS}".encode()).hexdigest()[:12]
-    made = _declared.setdefault(spark, set())
-    if name in made:
-        return name
-    slot = F.pmod(F.xxhash64("pair"), F.lit(BUCKETS))
-    rows = spark.createDataFrame(_pairs(path))
-    small = rows.groupBy(slot.alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("pair", "joined"))).alias("m"))
-    slots = spark.range(BUCKETS).select(F.col("id").alias("b")).join(small, "b", "left")
-    slots.createOrReplaceTempView(f"{name}_rows")
-    spark.sql(f"declare or replace variable {name} array<map<string,string>>")
-    spark.sql(f"set var {name} = (select transform(array_sort(collect_list(struct(b, coalesce(m, cast(map() as map<string,string>)) as m)), (x, y) -> cast(x.b - y.b as int)), s -> s.m) from {name}_rows)")
-    spark.catalog.dropTempView(f"{name}_rows")
-    made.add(name)
-    return name
+
+def rank_map(spark: SparkSession, path: str) -> Column:
+    """Literal: the ranks of all tokens, in SLOTS small maps by hash."""
+    slot = F.xxhash64("token").bitwiseAND(F.lit(SLOTS - 1).cast("long"))
+    small = _vocabulary(spark, path).groupBy(slot.alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("m"))
+    slots = spark.range(SLOTS).select(F.col("id").alias("b")).join(small, "b", "left")
+    in_order = "transform(array_sort(collect_list(struct(b, coalesce(m, cast(map() as map<binary,int>)) as m)), (x, y) -> cast(x.b - y.b as int)), s -> s.m)"
+    return _variable(spark, "ranks", path, "array<map<binary,int>>", slots, in_order)
+
+
+def pieces(spark: SparkSession, path: str) -> Column:
+    """Literal: the byte string of each id (null for numbers that aren't ids)."""
+    some = _vocabulary(spark, path)
+    all_ids = spark.range(max(ranks(path).values()) + 1).select(F.col("id").cast("int").alias("id")).join(some, "id", "left")
+    in_order = "transform(array_sort(collect_list(struct(id, token)), (x, y) -> x.id - y.id), s -> s.token)"
+    return _variable(spark, "pieces", path, "array<binary>", all_ids, in_order)
 
 
 def _let(value: Column, use) -> Column:
@@ -109,48 +109,38 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def start(word: bytes, token: list[str], two: dict[bytes, str]) -> tuple[str, str]:
-    """A word's state before any merge: its bytes as tokens between edges, and its pairs."""
-    p = EDGE + "".join([token[b] for b in word]) + EDGE
-    return p, NONE + "".join([two.get(word[i : i + 2], NONE) for i in range(len(word) - 1)]) + NONE
-
+def fold(word: Column, table: Column) -> Column:
+    """The ids of one word (its byte array): a fold of ranked merges.
 
-def fold(p: Column, r: Column, table: Column) -> Column:
-    """One word's tokens as characters between edges: a fold of ranked merges.
-
-    p is the word as token characters between two EDGE characters. Its companion r holds for
-    every neighbouring pair the character of the token they join to, or NONE; m is the least
-    character in r, the pair of lowest rank, as characters sort by rank. A step replaces the
-    leftmost such pair in p by its token and the three pairs around it in r by two.
+    The state's p holds the word's pieces, r the rank of each pair of neighbours (null if the two
+    joined are no token): r[k] belongs to p[k - 1] and p[k], so r is null at both ends; j is the
+    place in r of the first least rank. A step puts the joined piece x in place of its two.
     """
-    none = F.lit(NONE)
 
-    def joined(pair: Column) -> Column:
-        slot = F.pmod(F.xxhash64(pair), F.lit(BUCKETS)).cast("int")
-        return F.coalesce(F.try_element_at(F.get(table, slot), pair), none)
+    def rank(b: Column) -> Column:
+        return F.try_element_at(F.get(table, F.xxhash64(b).bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")), b)
 
     def state(p: Column, r: Column) -> Column:
-        return _let(r, lambda q: F.struct(p.alias("p"), q.alias("r"), F.array_min(F.split(q, "")).alias("m")))
-
-    def merge(s: Column) -> Column:
-        def at(i: Column) -> Column:
-            def around(p: Column) -> Column:
-                two = F.concat(joined(F.substring(p, i - 1, F.lit(2))), joined(F.substring(p, i, F.lit(2))))
-                return state(p, F.overlay(s["r"], two, i - 1, 3))
+        return _let(r, lambda q: F.struct(p.alias("p"), q.alias("r"), F.array_position(q, F.array_min(q)).cast("int").alias("j")))
 
-            return _let(F.overlay(s["p"], s["m"], i, 2), around)
+    n = F.octet_length(word)
+    singles = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
+    pairs = F.transform(F.sequence(F.lit(0), n), lambda i: F.when((i > 0) & (i < n), rank(F.substring(word, i, F.lit(2)))))
 
-        return _let(F.instr(s["r"], s["m"]), at)
+    def step(s: Column, _: Column) -> Column:
+        p, r, j = s["p"], s["r"], s["j"]
 
-    steps = F.sequence(F.lit(1), F.greatest(F.char_length(r) - 2, F.lit(1)))
-    return F.aggregate(steps, state(p, r), lambda s, _: F.when(s["m"] == none, s).otherwise(merge(s)), lambda s: s["p"])
+        def join(x: Column) -> Column:
+            two = F.array(rank(F.concat(F.get(p, j - 3), x)), rank(F.concat(x, F.get(p, j))))
+            return state(
+                F.concat(F.slice(p, F.lit(1), j - 2), F.array(x), F.slice(p, j + 1, n)),
+                F.concat(F.slice(r, F.lit(1), j - 2), two, F.slice(r, j + 2, n)),
+            )
 
+        return F.when(j.isNull(), s).otherwise(_let(F.concat(F.get(p, j - 2), F.get(p, j - 1)), join))
 
-def unfold(folded: pa.StringArray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of folded words, and how many each has; a null has none."""
-    sizes = np.maximum(pc.fill_null(pc.utf8_length(folded), 2).to_numpy(zero_copy_only=False) - 2, 0).astype(np.int64)
-    symbols = np.frombuffer("".join(x for x in folded.to_pylist() if x).encode("utf-32-le"), np.uint32)
-    return (symbols[symbols != ord(EDGE)].astype(np.int64) - base).astype(np.int32), sizes
+    steps = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
+    return F.aggregate(steps, state(singles, pairs), step, lambda s: F.transform(s["p"], rank))
 
 
 def long_word(word: bytes, rank: dict[bytes, int]) -> list[int]:
@@ -176,94 +166,229 @@ def long_word(word: bytes, rank: dict[bytes, int]) -> list[int]:
     return [rank[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def parts_of(text: str) -> list[str]:
-    """Stretches of the text that no piece of the pattern crosses."""
-    if not text:
-        return []
-    cut = text.split(" ") if not UNEVEN.search(text) else APART.split(text)
-    return [cut[0], *[" " + x for x in cut[1:]]]
+def windows(word: bytes) -> list[bytes]:
+    """A word's overlapping windows: each begins STRIDE after the last one."""
+    return [word[i : i + WINDOW] for i in range(0, max(1, len(word) - WINDOW + STRIDE), STRIDE)]
+
+
+def stitched(parts: list[np.ndarray], size: np.ndarray) -> np.ndarray | None:
+    """The ids of a word from those of its windows; None if two windows share no token.
+
+    size: bytes of each id.
+    """
+    whole, ends = parts[0], np.cumsum(size[parts[0]])
+    for k, ids in enumerate(parts[1:], 1):
+        to = k * STRIDE + np.cumsum(size[ids])
+        # A token is the same if its id and its end are.
+        both, left, right = np.intersect1d(ends, to, assume_unique=True, return_indices=True)
+        same = np.flatnonzero(whole[left] == ids[right])
+        if not len(same):
+            return None
+        m = same[len(same) // 2]
+        whole = np.concatenate([whole[: left[m] + 1], ids[right[m] + 1 :]])
+        ends = np.concatenate([ends[: left[m] + 1], to[right[m] + 1 :]])
+    return whole
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of small numbers as compressed bytes, the four bytes of a number apart."""
+    out = [np.int64(len(a)).tobytes() + np.ascontiguousarray(np.asarray(a, np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays]
+    return squeezed(b"".join(out))
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    raw, at, out = loose(data), 0, []
+    while at < len(raw):
+        n = int(np.frombuffer(raw, np.int64, 1, at)[0])
+        planes = np.frombuffer(raw, np.uint8, 4 * n, at + 8).reshape(4, n)
+        out.append(np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64))
+        at += 8 + 4 * n
+    return out
+
 
+def squeezed(raw: bytes) -> bytes:
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
-WORDS = (
-    "fresh boolean, ids array<{kind}>, at array<int>, parts array<int>, part_ends array<int>, part_words array<int>, "
-    "starts array<struct<p string, r string>>, long_words array<binary>"
-)
 
+def loose(data: bytes) -> bytes:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return pa.decompress(data[8:], n, codec="zstd", asbytes=True) if n else b""
 
-def _distinct(pattern: str, rank: dict[bytes, int], batch_chars: int, max_parts: int):
-    """A row for each batch: documents as part numbers, parts as word numbers, words at the
-    start of their fold (long words as bytes instead)."""
-    base = symbol_base(rank)
-    token = [chr(base + rank[bytes([i])]) for i in range(256)]
-    two = {t: chr(base + r) for t, r in rank.items() if len(t) == 2}
+
+def split_spaces(texts: pa.Array, parts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' parts as numbers in ``parts``, which grows; how many each text has.
+
+    No piece of a pattern in SPACED crosses parts.
+    """
+    lists = pc.split_pattern(texts, " ")
+    full = pc.list_value_length(lists).to_numpy()
+    count = np.where(pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 0, full)
+    coded = lists.flatten().dictionary_encode()
+    names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    at = at[np.repeat(count > 0, full)]
+    # Beginning and end of a part: not white space.
+    head, tail = np.ones(len(names), bool), np.ones(len(names), bool)
+    for k in [k for k, x in enumerate(names) if not x or x[0].isspace() or x[-1].isspace()]:
+        x = names[k]
+        head[k], tail[k] = bool(x) and not x[0].isspace(), bool(x) and not x[-1].isspace()
+    first = np.zeros(len(at), bool)
+    first[(np.cumsum(count) - count)[count > 0]] = True
+    new = first.copy()
+    if len(at):
+        new[1:] |= tail[at[:-1]] & head[at[1:]]
+    begins = np.flatnonzero(new)
+    length = np.diff(np.append(begins, len(at)))
+    number = np.full((2, len(names)), -1, np.int32)  # of each part within a text, and as its first
+    for k in (0, 1):
+        for i in np.unique(at[begins[(length == 1) & (first[begins] == k)]]).tolist():
+            number[k, i] = parts.setdefault(names[i] if k else " " + names[i], len(parts))
+    stream = number[first[begins].astype(np.int8), at[begins]]
+    for k in np.flatnonzero(length > 1).tolist():  # parts that belong together
+        b = begins[k]
+        x = " ".join([names[i] for i in at[b : b + length[k]]])
+        stream[k] = parts.setdefault(x if first[b] else " " + x, len(parts))
+    owner = np.repeat(np.arange(len(count)), count)[begins]
+    return stream, np.bincount(owner, minlength=len(count))
+
+
+def whole_texts(texts: pa.Array, parts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Like split_spaces, with each text as one part."""
+    return np.array([parts.setdefault(t, len(parts)) for t in texts.to_pylist()], np.int32), np.ones(len(texts), np.int64)
+
+
+CUT = "key long, epoch long, seq int, ids array<{kind}>, data binary, words binary"
+
+
+def _cut(pattern: str, buckets: int, epoch_bytes: int, chunk_bytes: int, kind: pa.DataType):
+    """Rows with words: those of an epoch in bucket -1 - key. Rows with data, key is the epoch: at
+    seq -1 the words of each part and the windows of long words, then runs of documents (ids) as
+    part numbers."""
+    schema = pa.schema([("key", pa.int64()), ("epoch", pa.int64()), ("seq", pa.int32()), ("ids", pa.list_(kind)), ("data", pa.binary()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
+        from pyspark import TaskContext
 
+        pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back
         find = regex.compile(pattern).findall
-        state = pa.struct([("p", pa.string()), ("r", pa.string())])
-        ids: list = []
-        ends, stream = array("i"), array("i")
-        seen: dict[str, int] = {}
-        words: dict[str, int] = {}
-        fresh, sent_parts, sent_words, chars = True, 0, 0, 0
-        kind = None
-
-        def out() -> pa.RecordBatch:
+        epoch = TaskContext.get().partitionId() << 32
+        split = split_spaces if pattern in SPACED else whole_texts
+
+        def row(seq: int, ids=None, data=None, words=None) -> pa.RecordBatch:
+            key = epoch if words is None else -1 - seq
+            cols = [[key], [epoch], [seq], [ids], [data], [words]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+        def out(ids: list, streams: list[np.ndarray], counts: list[np.ndarray], parts: dict[str, int]) -> Iterator[pa.RecordBatch]:
+            # Frequent parts get small numbers, which pack better.
+            used = np.zeros(len(parts), np.int64)
+            for stream in streams:
+                used += np.bincount(stream, minlength=len(parts))
+            by_use = np.empty(len(parts), np.int64)
+            ranked = np.argsort(-used, kind="stable")
+            by_use[ranked] = np.arange(len(parts))
+            names = list(parts)
+            parts.clear()
+            words: dict[str, int] = {}
             flat, part_ends = array("i"), array("i")
-            for p in islice(seen, sent_parts, None):
+            for p in [names[k] for k in ranked.tolist()]:
                 flat.extend([words.setdefault(w, len(words)) for w in find(p)])
                 part_ends.append(len(flat))
-            ps, rs, long_words = [], [], []
-            for w in islice(words, sent_words, None):
-                b = w.encode()
-                p, r = start(b, token, two) if len(b) <= LONG_WORD else (None, None)
-                ps.append(p)
-                rs.append(r)
-                long_words.append(b if p is None else None)
-            starts = pa.StructArray.from_arrays(
-                [pa.array(ps, pa.string()), pa.array(rs, pa.string())], fields=list(state), mask=pa.array([p is None for p in ps], pa.bool_())
-            )
-
-            def one(a: pa.Array) -> pa.Array:
-                return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-
-            ints = lambda a: pa.array(np.array(a, np.int32))
-            row = [pa.array(ids, kind), ints(ends), ints(stream), ints(part_ends), ints(flat), starts, pa.array(long_words, pa.binary())]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([fresh]), *[one(a) for a in row]], ["fresh", "ids", "at", "parts", "part_ends", "part_words", "starts", "long_words"]
-            )
-
+            del names
+            coded = [w.encode() for w in words]
+            words.clear()
+            long = [k for k, w in enumerate(coded) if len(w) > WINDOW]
+            folded = dict.fromkeys(w for w in coded if len(w) <= WINDOW)
+            for k in long:
+                folded.update(dict.fromkeys(windows(coded[k])))
+            names = list(folded)
+            for k, w in enumerate(names):
+                folded[w] = k
+            # A part's words: 0 for the next new one, else its number and 1. Long words come after all others.
+            number = np.array([folded.get(w, -1) for w in coded], np.int64)
+            number[long] = len(names) + np.arange(len(long))
+            cut = [[folded[x] for x in windows(coded[k])] for k in long]
+            folded.clear()
+            bucket = np.array([crc32(w) % buckets for w in names], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+                own = [names[k] for k in some.tolist()]
+                yield row(int(bucket[some[0]]), words=squeezed(np.int64(len(own)).tobytes() + np.array([len(w) for w in own], np.int32).tobytes() + b"".join(own)))
+            flat_words = number[np.array(flat, np.int32)]
+            new = np.zeros(len(flat_words), bool)
+            new[np.unique(flat_words, return_index=True)[1]] = True
+            in_turn = len(names) == len(coded) and not long  # no windows among the numbers
+            marked = np.where(new, 0, flat_words + 1) if in_turn else flat_words + 1
+            flat_cut = np.array([x for c in cut for x in c], np.int64)
+            yield row(-1, data=packed(bucket, np.diff(np.array(part_ends), prepend=0), marked, np.array([len(c) for c in cut]), flat_cut))
+            for seq, (i, stream, count) in enumerate(zip(ids, streams, counts, strict=True)):
+                yield row(seq, ids=i.to_pylist(), data=packed(count, by_use[stream]))
+
+        ids, streams, counts, parts, held = [], [], [], {}, 0
         for b in batches:
-            kind = b.schema.field("doc_id").type
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
-                text = t.as_py() or ""
-                stream.extend([seen.setdefault(x, len(seen)) for x in parts_of(text)])
-                ids.append(i.as_py())
-                ends.append(len(stream))
-                chars += len(text)
-                if chars >= batch_chars:
-                    yield out()
-                    fresh, sent_parts, sent_words = False, len(seen), len(words)
-                    if len(seen) > max_parts:
-                        seen, words = {}, {}
-                        fresh, sent_parts, sent_words = True, 0, 0
-                    ids, ends, stream, chars = [], array("i"), array("i"), 0
+            texts = b["text"].fill_null("")
+            length = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+            at = 0
+            while at < len(b):  # texts of a bounded size at once
+                begin = length[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(length, begin + chunk_bytes, side="right")))
+                stream, count = split(texts.slice(at, to - at), parts)
+                ids.append(b["doc_id"].slice(at, to - at))
+                streams.append(stream)
+                counts.append(count)
+                held += int(length[to - 1] - begin)
+                at = to
+                if held >= epoch_bytes:
+                    yield from out(ids, streams, counts, parts)
+                    ids, streams, counts, parts, held, epoch = [], [], [], {}, 0, epoch + 1
         if ids:
-            yield out()
+            yield from out(ids, streams, counts, parts)
 
     return run
 
 
-class _Lists:
-    """Growing ragged array of ids."""
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's words, each once; its last row tells which of them each epoch has (back)."""
+    schema = pa.schema([("bucket", pa.int32()), ("words", pa.list_(pa.binary())), ("back", pa.binary())])
+
+    def out(bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
+        columns, counts = [], []
+        for _, data in rows:
+            raw = loose(data)
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.int32, n, 8))]).astype(np.int32)
+            columns.append(pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(raw[8 + 4 * n :])]))
+            counts.append(n)
+        coded = pa.concat_arrays(columns).dictionary_encode()
+        epochs = np.array([e for e, _ in rows])
+        back = packed(epochs >> 32, epochs & 0xFFFFFFFF, counts, coded.indices.to_numpy())
+        names = coded.dictionary
+        for lo in range(0, len(names), ROW_WORDS):
+            some = names.slice(lo, ROW_WORDS)
+            last = lo + ROW_WORDS >= len(names)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), pa.concat_arrays([some]))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), lists, pa.array([back if last else None], pa.binary())], schema=schema)
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    bucket, rows = None, []
+    for b in batches:
+        for k, epoch, data in zip(b["key"].to_pylist(), b["epoch"].to_pylist(), b["words"], strict=True):
+            if not data.is_valid:
+                continue
+            if k != bucket and rows:
+                yield from out(-1 - bucket, rows)
+                rows = []
+            bucket = k
+            rows.append((epoch, data.as_py()))
+    if rows:
+        yield from out(-1 - bucket, rows)
+
 
-    def __init__(self) -> None:
-        self.values, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
+class _Lists:
+    """Ragged array of ids."""
 
-    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.ends = np.concatenate([self.ends, len(self.values) + np.cumsum(sizes, dtype=np.int64)])
-        self.values = np.concatenate([self.values, np.asarray(values, np.int32)])
+    def __init__(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values, self.ends = np.asarray(values, np.int32), np.cumsum(sizes, dtype=np.int64)
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists ``rows`` one after the other, and where each ends."""
@@ -275,38 +400,72 @@ class _Lists:
         return self.values[np.arange(to[-1]) + np.repeat(begins - (to - size), size)], to
 
 
-def _assemble(rank: dict[bytes, int], kind: pa.DataType):
-    base = symbol_base(rank)
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The folded words of a bucket, back to their epochs."""
+    values, sizes = [], []
+    names = ["task", "epoch", "seq", "data"]
+    for b in batches:
+        for r in range(len(b)):
+            coded = b["coded"][r].values
+            values.append(coded.flatten().to_numpy())
+            sizes.append(pc.list_value_length(coded).to_numpy())
+            if not b["back"][r].is_valid:
+                continue
+            task, epoch, count, index = unpacked(b["back"][r].as_py())
+            all_sizes = np.concatenate(sizes)
+            lists = _Lists(np.concatenate(values), all_sizes)
+            values, sizes, lo, data = [], [], 0, []
+            for n in count:
+                rows = index[lo : lo + n]
+                data.append(packed(all_sizes[rows], lists.take(rows)[0]))
+                lo += n
+            bucket = np.full(len(count), b["bucket"][r].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array((task << 32) + epoch), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], ["key", "seq", "data"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts = _Lists(), _Lists()
-        for b in batches:
-            for r in range(len(b)):
-                get = lambda c: b[c][r].values  # noqa: B023, E731
-                num = lambda c: get(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                if b["fresh"][r].as_py():
-                    words, parts = _Lists(), _Lists()
-                coded = get("coded")
-                values, sizes = unfold(coded, base)
-                if coded.null_count:
-                    lists = np.split(values, np.cumsum(sizes)[:-1])
-                    for at in np.flatnonzero(coded.is_null().to_numpy(zero_copy_only=False)):
-                        lists[at] = np.array(long_word(get("long_words")[at].as_py(), rank), np.int32)
-                    sizes, values = np.array([len(x) for x in lists]), np.concatenate(lists)
-                words.add(values, sizes)
-                values, word_ends = words.take(num("part_words"))
-                parts.add(values, np.diff(np.concatenate([[0], np.concatenate([[0], word_ends])[num("part_ends")]])))
-                stream, at = num("parts"), num("at").astype(np.int64)
-                ids = get("ids")
-                lo, begin = 0, 0
-                while lo < len(at):  # documents in runs of bounded size
-                    hi = max(lo + 1, int(np.searchsorted(at, begin + 250_000, side="right")))
-                    out, stops = parts.take(stream[begin : at[hi - 1]])
-                    bounds = np.concatenate([[0], stops])[at[lo:hi] - begin]
-                    offsets = pa.array(np.concatenate([[0], bounds]).astype(np.int32))
-                    lists_ = pa.ListArray.from_arrays(offsets, pa.array(out.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).cast(kind), lists_], ["doc_id", "ids"])
-                    lo, begin = hi, int(at[hi - 1])
+
+def _assemble(rank: dict[bytes, int], kind: pa.DataType):
+    def table(data: bytes, dealt: list[bytes]) -> _Lists:
+        """The ids of each part of the epoch."""
+        bucket, part_sizes, marked, long_sizes, long_windows = unpacked(data)
+        pairs = [unpacked(x) for x in dealt]
+        words = _Lists(np.concatenate([np.zeros(0, np.int64), *[v for _, v in pairs]]), np.concatenate([np.zeros(0, np.int64), *[s for s, _ in pairs]]))
+        place = np.empty(len(bucket), np.int64)  # from buckets back to the order of numbers
+        place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+        flat, ends = words.take(place)
+        sizes = np.diff(ends, prepend=0)
+        if len(long_sizes):
+            token = {r: t for t, r in rank.items()}
+            size = np.zeros(max(token) + 1, np.int64)
+            size[list(token)] = [len(t) for t in token.values()]
+            own = np.split(flat, ends[:-1])
+            found, lo = [], 0
+            for n in long_sizes.tolist():
+                cut = [own[w] for w in long_windows[lo : lo + n].tolist()]
+                whole = stitched(cut, size)
+                if whole is None:
+                    text = [b"".join([token[i] for i in ids.tolist()]) for ids in cut]
+                    whole = np.array(long_word(b"".join([t[:STRIDE] for t in text[:-1]]) + text[-1], rank))
+                found.append(whole)
+                lo += n
+            flat, sizes = np.concatenate([flat, *found]), np.concatenate([sizes, [len(f) for f in found]])
+        new = marked == 0
+        number = np.where(new, np.cumsum(new) - 1, marked - 1)
+        ids, stops = _Lists(flat, sizes).take(number)
+        return _Lists(ids, np.diff(np.concatenate([[0], np.concatenate([[0], stops])[np.cumsum(part_sizes)]])))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        schema = pa.schema([("doc_id", kind), ("ids", pa.list_(pa.int32()))])
+        if left["data"].null_count:  # words
+            return schema.empty_table()
+        left, right = left.sort_by("seq"), right.sort_by("seq")
+        parts, out = table(left["data"][0].as_py(), right["data"].to_pylist()), []
+        for ids, data in zip(left["ids"][1:], left["data"][1:], strict=True):
+            count, stream = unpacked(data.as_py())
+            flat, stops = parts.take(stream)
+            bounds = np.concatenate([[0], np.concatenate([[0], stops])[np.cumsum(count)]])
+            out.append(pa.RecordBatch.from_arrays([ids.values.cast(kind), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
     return run
 
@@ -317,32 +476,24 @@ def encode(
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    batch_chars: int = BATCH_CHARS,
-    max_parts: int = MAX_PARTS,
+    epoch_bytes: int = EPOCH_BYTES,
 ) -> DataFrame:
     """doc_id, ids (array<int>) for every row of docs."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType
-    rank = ranks(path)
-    table = F.expr(rank_map(spark, path))
-    words = slim.mapInArrow(_distinct(pattern, rank, batch_chars, max_parts), WORDS.format(kind=kind.simpleString()))
-    short = lambda w: F.when(w.isNotNull(), fold(w["p"], w["r"], table))
-    coded = words.select("fresh", "ids", "at", "parts", "part_ends", "part_words", "long_words", F.transform("starts", short).alias("coded"))
-    return coded.mapInArrow(_assemble(rank, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, ids array<int>")
-
-
-def pieces(spark: SparkSession, path: str) -> Column:
-    """Literal array: the hex digits of each id's byte string."""
-    table = ranks(path)
-    size = max(table.values()) + 1
-    names = [""] * size
-    for token, i in table.items():
-        names[i] = token.hex()
-    return F.split(F.lit(",".join(names)), ",")
+    name, arrow = kind.simpleString(), to_arrow_type(kind)
+    n = 2 * n_shuffle(spark)
+    cut = slim.mapInArrow(_cut(pattern, n, epoch_bytes, min(epoch_bytes, CHUNK_BYTES), arrow), CUT.format(kind=name)).repartition(n, "key")
+    distinct = cut.sortWithinPartitions("key", "epoch").mapInArrow(_distinct, "bucket int, words array<binary>, back binary")
+    table = rank_map(spark, path)
+    coded = distinct.select("bucket", "back", F.transform("words", lambda w: fold(w, table)).alias("coded"))
+    dealt = coded.mapInArrow(_deal, "key long, seq int, data binary")
+    return cut.groupBy("key").cogroup(dealt.groupBy("key")).applyInArrow(_assemble(ranks(path), arrow), f"doc_id {name}, ids array<int>")
 
 
 def decode(ids: Column, spark: SparkSession, path: str) -> Column:
     """The bytes of an ids column: the ids' byte strings one after the other."""
-    table = pieces(spark, path)
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), ""))
+    table = pieces(spark, path).cast("array<string>")  # the same bytes, as array_join takes them
+    unknown = F.raise_error(F.lit("an id is not in the vocabulary")).cast("string")
+    return F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(table, i), unknown)), "").cast("binary")
