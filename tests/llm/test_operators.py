@@ -144,6 +144,43 @@ def test_near_hub(spark, percent):
     assert [got[i] for i in range(len(texts))] == [0] * 1001 + [1001]
 
 
+def test_near_candidates_over_short_partitions(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**32, (40, near_dedup.VALUES), dtype=np.uint64)
+    sig = np.repeat(base, rng.integers(1, 33, 40), axis=0)
+    sig[:, 8:] = np.where(rng.random(sig[:, 8:].shape) < 0.05, 7, sig[:, 8:])
+    rows = [(i + 1, bytearray(x.astype(near_dedup.BIG).tobytes())) for i, x in enumerate(sig)]
+    nodes = spark.createDataFrame(rows, "node long, signature binary")
+    want = {(i + 1, j + 1) for i in range(len(sig)) for j in range(i + 1, len(sig)) if any((sig[i, o[:4]] == sig[j, o[:4]]).all() for o in near_dedup.ORDERS)}
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for part_rows in (4000, 30):
+            got = {(r.a, r.b) for r in near_dedup.candidates(nodes, part_rows=part_rows).collect()}
+            assert want <= got and len(got) <= len(want) + 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_near_template(spark, parts):
+    """A region whose pairs are alike but, save for 150 pairs, not linked; also over partitions without rows."""
+    rng = random.Random(844)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template, texts = [word() for _ in range(844)], []
+    for _ in range(150):
+        own = [word() for _ in range(200)]
+        other = list(own)
+        for at in rng.sample(range(200), 6):
+            other[at] = word()
+        texts += [" ".join(template + own), " ".join(template + other)]
+    rows = docs_of(spark, texts).repartition(parts).filter("doc_id is not null")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(rows, 85).collect()}
+    roots, _ = near_brute(texts, 85)
+    assert len(set(roots)) == 150 and [got[i] for i in range(300)] == roots
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((600, 16)).astype(np.float32)

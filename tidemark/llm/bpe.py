@@ -51,12 +51,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import n_shuffle
+from tidemark.llm.common import in_batches, n_shuffle
 
 SLOTS = 65_536
 WINDOW, STRIDE = 1_080, 720
-EPOCH_BYTES = 24_000_000
-CHUNK_BYTES, ROW_WORDS = 5_000_000, 4_096
+EPOCH_BYTES = 16_000_000
+CHUNK_BYTES, ROW_WORDS = 2_000_000, 4_096
 #: Fixed value: the pattern for which cutting at single spaces is right.
 SPACED = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 _declared: WeakKeyDictionary[SparkSession, set[str]] = WeakKeyDictionary()
@@ -269,7 +269,6 @@ def _cut(pattern: str, buckets: int, epoch_bytes: int, chunk_bytes: int, kind: p
         import regex
         from pyspark import TaskContext
 
-        pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back
         find = regex.compile(pattern).findall
         epoch = TaskContext.get().partitionId() << 32
         split = split_spaces if pattern in SPACED else whole_texts
@@ -349,7 +348,7 @@ def _cut(pattern: str, buckets: int, epoch_bytes: int, chunk_bytes: int, kind: p
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's words, each once; its last row tells which of them each epoch has (back)."""
-    schema = pa.schema([("bucket", pa.int32()), ("words", pa.list_(pa.binary())), ("back", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("turn", pa.int32()), ("words", pa.list_(pa.binary())), ("back", pa.binary())])
 
     def out(bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
         columns, counts = [], []
@@ -367,9 +366,8 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = names.slice(lo, ROW_WORDS)
             last = lo + ROW_WORDS >= len(names)
             lists = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), pa.concat_arrays([some]))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), lists, pa.array([back if last else None], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([lo // ROW_WORDS], pa.int32()), lists, pa.array([back if last else None], pa.binary())], schema=schema)
 
-    pa.set_memory_pool(pa.system_memory_pool())
     bucket, rows = None, []
     for b in batches:
         for k, epoch, data in zip(b["key"].to_pylist(), b["epoch"].to_pylist(), b["words"], strict=True):
@@ -403,12 +401,10 @@ class _Lists:
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The folded words of a bucket, back to their epochs."""
     values, sizes = [], []
-    names = ["task", "epoch", "seq", "data"]
     for b in batches:
         for r in range(len(b)):
-            coded = b["coded"][r].values
-            values.append(coded.flatten().to_numpy())
-            sizes.append(pc.list_value_length(coded).to_numpy())
+            values.append(b["values"][r].values.to_numpy())
+            sizes.append(b["sizes"][r].values.to_numpy())
             if not b["back"][r].is_valid:
                 continue
             task, epoch, count, index = unpacked(b["back"][r].as_py())
@@ -484,11 +480,15 @@ def encode(
     kind = slim.schema["doc_id"].dataType
     name, arrow = kind.simpleString(), to_arrow_type(kind)
     n = 2 * n_shuffle(spark)
-    cut = slim.mapInArrow(_cut(pattern, n, epoch_bytes, min(epoch_bytes, CHUNK_BYTES), arrow), CUT.format(kind=name)).repartition(n, "key")
-    distinct = cut.sortWithinPartitions("key", "epoch").mapInArrow(_distinct, "bucket int, words array<binary>, back binary")
-    table = rank_map(spark, path)
-    coded = distinct.select("bucket", "back", F.transform("words", lambda w: fold(w, table)).alias("coded"))
-    dealt = coded.mapInArrow(_deal, "key long, seq int, data binary")
+    cut = in_batches(slim, _cut(pattern, n, epoch_bytes, min(epoch_bytes, CHUNK_BYTES), arrow), CUT.format(kind=name)).repartition(n, "key")
+    distinct = in_batches(cut.sortWithinPartitions("key", "epoch"), _distinct, "bucket int, turn int, words array<binary>, back binary")
+    # The literal stands once in the plan, whose text the driver keeps for each stage.
+    folded = _let(rank_map(spark, path), lambda table: F.transform("words", lambda w: fold(w, table)))
+    coded = distinct.select("bucket", "turn", "back", folded.alias("coded"))
+    flat = coded.select("bucket", "turn", "back", F.transform("coded", F.size).alias("sizes"), F.flatten("coded").alias("values"))
+    # A stage of its own, so that an executor holds one Python worker a core.
+    ready = flat.repartition(n, "bucket").sortWithinPartitions("bucket", "turn")
+    dealt = in_batches(ready, _deal, "key long, seq int, data binary")
     return cut.groupBy("key").cogroup(dealt.groupBy("key")).applyInArrow(_assemble(ranks(path), arrow), f"doc_id {name}, ids array<int>")
 
 

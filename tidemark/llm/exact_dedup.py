@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, materialize, n_shuffle, sized
+from tidemark.llm.common import SPACE, in_batches, materialize, n_shuffle, sized
 
 KEY = ["sha", "n_bytes", "probe"]
 ORDER = [*KEY, "no_id", "doc_id", "row"]
@@ -89,7 +89,7 @@ def merged_runs(rows: DataFrame, fan_in: int = 8) -> DataFrame:
         .sortWithinPartitions("node", *ORDER)
     )
     left = max(1, rows.rdd.getNumPartitions())
-    runs = runs.mapInArrow(_merge, runs.schema)
+    runs = in_batches(runs, _merge, runs.schema, 10_000)
     while left > 1:
         left = -(-left // fan_in)
         met = (
@@ -97,7 +97,7 @@ def merged_runs(rows: DataFrame, fan_in: int = 8) -> DataFrame:
             .repartition(n_shuffle(spark), "node", "sha")
             .sortWithinPartitions("node", *ORDER)
         )
-        runs = met.mapInArrow(_merge, met.schema)
+        runs = in_batches(met, _merge, met.schema, 10_000)
     return runs
 
 

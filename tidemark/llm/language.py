@@ -29,12 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_bucket
+from tidemark.llm.common import id_bucket, in_batches
 
 MODULUS, HELD = 4, 2
 WINDOW, FILTERS, WIDTHS = 256, 10, (2, 3, 4)
+PLAIN = re.compile("[A-Za-z]")
 CHUNK = 1024  # windows scored at once: 256 KiB of text
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter (Unicode general category L); numerals and marks are none."""
+    return bool(PLAIN.search(text)) or any(c.isalpha() for c in set(text))
 
 
 def windows(data: bytes) -> np.ndarray:
@@ -150,8 +155,9 @@ def training_windows(
                     out.append(w[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "w"])
 
-    # Repeated rows of one id share its hash; the limit bounds them too.
-    got = chosen.mapInArrow(cut, "lang string, w binary").limit(train_docs * train_windows).toPandas().sort_values(["lang", "w"])
+    # Repeated rows of one id share its hash: equal windows count once, and the limit bounds the others.
+    each = in_batches(chosen, cut, "lang string, w binary").distinct()
+    got = each.orderBy(F.xxhash64("w"), "w", "lang").limit(train_docs * train_windows).toPandas().sort_values(["lang", "w"])
     langs = sorted(set(got["lang"]))
     x = np.frombuffer(b"".join(map(bytes, got["w"])), np.uint8).reshape(-1, WINDOW)
     return x, np.searchsorted(np.array(langs, dtype=object), got["lang"].to_numpy(dtype=object)), langs
@@ -187,7 +193,7 @@ def predict_language(
 
             for i, t in enumerate(b["text"]):
                 text = t.as_py()
-                if ready is None or text is None or not LETTER.search(text):
+                if ready is None or text is None or not has_letter(text):
                     continue
                 known[i] = True
                 data = text.lower().encode()
@@ -211,6 +217,6 @@ def predict_language(
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double").select(
+    return in_batches(slim, run, f"doc_id {kind}, lang_pred string, score double").select(
         "doc_id", (id_bucket(F.col("doc_id"), MODULUS) == HELD).alias("held_out"), "lang_pred", "score"
     )

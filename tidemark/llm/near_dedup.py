@@ -36,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, n_shuffle, sized
+from tidemark.llm.common import in_batches, materialize, n_shuffle, sized
 from tidemark.llm.components import components
 from tidemark.llm.mixing import running_sum
 from tidemark.llm.shingles import chunks, mix, shingle_sets
 
 VALUES, TREES, DEPTH = 64, 16, 8
 MIN_DEPTH, WINDOW = 4, 32
+CHUNK = 1 << 18  # bytes of text shingled at once, whole texts
 #: Shingles of a block of a dense region (each node counts NODE more), columns of its matrix.
 BLOCK, NODE, COLUMNS = 250_000, 256, 2_048
 _rng = np.random.default_rng(85)
@@ -56,7 +57,7 @@ BIG = np.dtype(">u4")
 def _rows(with_sets: bool, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, data, ends in chunks(b["text"]):
+            for at, data, ends in chunks(b["text"], CHUNK):
                 s = shingle_sets(data, ends, k)
                 full = np.flatnonzero(s.n)
                 starts = s.starts[full]
@@ -88,7 +89,7 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, with_sets: bool, k: in
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     last = "members array<long>" if with_sets else "signature binary"
-    return slim.mapInArrow(_rows(with_sets, k), f"doc_id {kind}, n long, node long, second long, {last}")
+    return in_batches(slim, _rows(with_sets, k), f"doc_id {kind}, n long, node long, second long, {last}")
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,32 +188,45 @@ def _pairs(a: np.ndarray, b: np.ndarray, names: list[str]) -> pa.RecordBatch:
     )
 
 
-def candidates(nodes: DataFrame, min_depth: int = MIN_DEPTH, window: int = WINDOW, close: int = 4) -> DataFrame:
-    """Distinct pairs a < b of nodes that are neighbours in some tree.
+def candidates(nodes: DataFrame, min_depth: int = MIN_DEPTH, window: int = WINDOW, close: int = 4, part_rows: int = 4000) -> DataFrame:
+    """Distinct pairs a < b of nodes that are neighbours in some tree, at least all of regions of up to window + 1 nodes.
 
-    nodes: node, signature.
+    nodes: node, signature. A partition of the order has about part_rows rows, so tables of any
+    size have partitions longer than a window; shorter ones are seen through.
     """
     spark = nodes.sparkSession
-    rows = nodes.select("node", "signature").mapInArrow(_trees, "tree int, key binary, node long")
-    n = max(1, min(n_shuffle(spark), nodes.count() * TREES // 4000 + 1))
+    rows = in_batches(nodes.select("node", "signature"), _trees, "tree int, key binary, node long")
+    n = max(1, min(n_shuffle(spark), nodes.count() * TREES // part_rows + 1))
     ordered = rows.repartitionByRange(n, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     found = materialize(
-        ordered.mapInArrow(_search(min_depth, window, close), "a long, b long, edge long, head boolean, tree int, key binary"),
+        in_batches(ordered, _search(min_depth, window, close), "a long, b long, edge long, head boolean, tree int, key binary"),
         "neighbours",
     )
 
     def meet(t: pa.Table) -> pa.Table:
         t = t.sort_by([("tree", "ascending"), ("key", "ascending"), ("a", "ascending")])
-        key = np.frombuffer(b"".join(t["key"].to_pylist()), BIG).reshape(-1, DEPTH)
-        p = neighbours(t["tree"].to_numpy(), key, min_depth, window, close)
-        head, node = t["head"].to_numpy(zero_copy_only=False), t["a"].to_numpy()
-        p = p[head[p[:, 0]] != head[p[:, 1]]]
+        key, tree, node = np.frombuffer(b"".join(t["key"].to_pylist()), BIG).reshape(-1, DEPTH), t["tree"].to_numpy(), t["a"].to_numpy()
+        once = np.ones(len(node), bool)  # a short partition's rows are both its first and its last
+        once[1:] = (node[1:] != node[:-1]) | (tree[1:] != tree[:-1]) | (key[1:] != key[:-1]).any(1)
+        key, tree, node = key[once], tree[once], node[once]
+        p = neighbours(tree, key, min_depth, window, close)
         r = _pairs(node[p[:, 0]], node[p[:, 1]], ["a", "b", "edge", "head", "tree", "key"])
         return pa.Table.from_batches([r]).select(["a", "b"])
 
     inner = found.filter("edge is null").select("a", "b")
-    ends = found.filter("edge >= 0").groupBy("edge").applyInArrow(meet, "a long, b long")
-    return inner.unionByName(ends).distinct()
+    ends = found.filter("edge is not null")
+    # Edges on the two sides of a partition of fewer rows than a window are one place.
+    size = {r.edge: r["count"] for r in ends.filter("not head").groupBy("edge").count().collect()}  # a number for each partition
+    place, moved = 0, []
+    for e in range(max(size, default=0)):
+        if size.get(e, 0) >= window:
+            place = e
+        elif e > place:
+            moved.append((e, place))
+    if moved:
+        to = F.broadcast(spark.createDataFrame(moved, "edge long, place long"))
+        ends = ends.join(to, "edge", "left").withColumn("edge", F.coalesce("place", "edge")).drop("place")
+    return inner.unionByName(ends.filter("edge >= 0").groupBy("edge").applyInArrow(meet, "a long, b long")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

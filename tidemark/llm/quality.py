@@ -11,11 +11,15 @@ ids keep theirs. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm import gbt
-from tidemark.llm.scoring import TRAIN_ROWS, apply, features, label_sample, training_set
+from tidemark.llm.common import in_batches
+from tidemark.llm.scoring import TRAIN_ROWS, apply, label_sample, labelled_texts, scores, training_set
 
 MODULUS, HELD, THRESHOLD = 3, 1, 0.5
 
@@ -72,35 +76,26 @@ def statistics(data: bytes) -> list[float]:
     ]
 
 
-def fit_quality(feats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> gbt.Forest:
-    return gbt.fit(*training_set(feats, label_sample(labels, "quality", MODULUS, HELD, train_rows)))
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> gbt.Forest:
+    sample = label_sample(labels, "quality", MODULUS, HELD, train_rows)
+    return gbt.fit(*training_set(labelled_texts(docs, sample, id_col, text_col), statistics))
 
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS
 ) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    feats = features(docs, statistics, id_col, text_col, "quality-features")
-    model = fit_quality(feats, labels, train_rows)
-    return apply(feats, model.predict, MODULUS, HELD, THRESHOLD)
+    model = fit_quality(docs, labels, id_col, text_col, train_rows)
+    return apply(docs, statistics, model.predict, MODULUS, HELD, THRESHOLD, id_col, text_col)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that the classifier rejects, all columns kept.
-
-    A second pass walks the texts with the fitted model, so no text is shuffled.
-    """
-    import pyarrow as pa
-
-    feats = features(docs, statistics, id_col, text_col, "quality-features")
-    model = fit_quality(feats, labels)
+    """docs without the rows that the classifier rejects, all columns kept; no text is shuffled."""
+    model = fit_quality(docs, labels, id_col, text_col)
     at = docs.columns.index(text_col)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
-                continue
-            x = np.array([statistics((t.as_py() or "").encode()) for t in b.column(at)], dtype=np.float32)
-            yield b.filter(pa.array(model.predict(x.astype(np.float64)) >= THRESHOLD))
+            yield b.filter(pa.array(scores(statistics, model.predict, b.column(at).cast(pa.binary())) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, scratch, sized
+from tidemark.llm.common import in_batches, materialize, scratch, sized
 
 CRLF = "\r\n"
 BLANK = CRLF + CRLF
@@ -232,7 +232,7 @@ def read_records(spark: SparkSession, path: str, keep_body: bool = True) -> Data
     )
     ints = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(n, ints[t]) for n, t in (f.split() for f in RECORD.split(", "))])
-    return chunks.mapInArrow(_parser(keep_body, schema), RECORD)
+    return in_batches(chunks, _parser(keep_body, schema), RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
