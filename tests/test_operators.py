@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import clean as C
 from tidemark.operators import quality, star, upsert
 from tidemark.plans import catalog
 from tidemark.plans import metrics as M
@@ -46,6 +47,32 @@ def test_scores_equal_ntile(spark, n):
     assert got == {r.user_id: (r.r, r.f, r.m) for r in want.collect()} and len(got) == n
 
 
+@pytest.mark.parametrize("prefix", ["", "user-000", "ü"])
+def test_scores_when_most_users_tie(spark, prefix):
+    """90 % bought once for one price: cuts within the tie go by user_id."""
+    rows = [(f"{prefix}{i:05}", "s", f"2024-01-{1 + (i % 10 == 0) * (i % 7):02} 00:00:00", "purchase", "p", 1.0) for i in range(500)]
+    rows += [(f"{prefix}{i:05}", "s", "2024-01-02 00:00:00", "purchase", "p", 2.0) for i in range(0, 500, 10)]
+    rows += [(f"{prefix}{i:05}", "s", "2024-01-09 00:00:00", "view", "p", 9.0) for i in range(490, 600)]
+    scored = M.rfm(events(spark, rows)).toPandas().sort_values("user_id").reset_index(drop=True)
+    assert len(scored) == 500
+    for name, ascending in (("recency", True), ("frequency", False), ("monetary", False)):
+        order = scored.sort_values([name, "user_id"], ascending=[ascending, True]).index
+        want = {row: 5 - at // 100 for at, row in enumerate(order)}
+        assert scored[f"{name}_score"].to_dict() == want, name
+
+
+def test_orphans(spark):
+    fact = spark.createDataFrame([(1,), (2,), (None,), (2,)], "k int")
+    assert sorted((r.k for r in quality.orphans(fact, fact.filter("k = 1"), "k").collect()), key=str) == [2, 2, None]
+    assert quality.orphans(fact, fact, "k").count() == 1  # a null key finds nothing
+
+
+def test_times_within_a_second_have_ids_of_their_own(spark):
+    df = spark.sql("select timestamp_ntz '2024-01-01 00:00:00.1' as event_time union all select timestamp_ntz '2024-01-01 00:00:00.2'")
+    clean = C.time_parts(df)
+    assert quality.duplicate_keys(star.time_dim(clean), ["time_id"]).count() == 0 and star.time_dim(clean).count() == 2
+
+
 def test_star_keys_are_unique_and_facts_have_no_orphans(spark):
     c = catalog.cleaned(spark, DATA)
     dims = {"time_id": star.time_dim(c), "category_id": star.category_dim(c), "product_id": star.product_dim(c)}

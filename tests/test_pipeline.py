@@ -1,9 +1,11 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import DATA, rows
-from tidemark.operators.upsert import current
+from tidemark.operators.upsert import append, current, paths, prune, publish
 from tidemark.plans import pipeline, weeks
 from tidemark.plans.state import State
 from tidemark.sources import events as E
@@ -50,6 +52,69 @@ def test_initial_plus_weekly_equals_one_load(spark, tmp_path):
         assert rows(x) == rows(y), name
 
 
+def test_a_load_appends_only_new_rows(spark, tmp_path):
+    root, ev = str(tmp_path), fx_events(spark, DATA)
+    early = pipeline.clean_events(ev.filter("event_time < '2024-01-15'"), "2024-01-01")
+    late = pipeline.clean_events(ev.filter("event_time >= '2024-01-15'"), "2024-01-01")
+    pipeline.load(spark, root, early)
+    (full,) = paths(spark, root, "fact")
+    before = {f: f.stat().st_mtime_ns for f in Path(full).iterdir()}
+    pipeline.load(spark, root, late)
+    parts = paths(spark, root, "fact")
+    assert parts[0] == full and len(parts) == 2 and {f: f.stat().st_mtime_ns for f in Path(full).iterdir()} == before
+    assert spark.read.parquet(parts[1]).count() == late.count()
+    pipeline.load(spark, root, late)
+    assert spark.read.parquet(paths(spark, root, "fact")[2]).count() == 0
+    publish(current(spark, root, "fact"), root, "fact")
+    assert len(prune(spark, root, "fact")) == 3 and current(spark, root, "fact").count() == early.count() + late.count()
+
+
+def test_a_write_that_breaks_off_leaves_the_old_table(spark, tmp_path):
+    root, df = str(tmp_path), spark.range(3)
+    publish(df, root, "t")
+    for write in (publish, append):
+        path = write(spark.range(100), root, "t")
+        Path(path, "_SUCCESS").unlink()  # as if the job had died before its commit
+        assert current(spark, root, "t").count() == 3
+    append(spark.range(2), root, "t")
+    assert current(spark, root, "t").count() == 5
+    assert current(spark, root, "none") is None
+
+
+def test_initial_and_weekly_loads_equal_one_load(spark, tmp_path):
+    ev = fx_events(spark, DATA).withColumn("event_time", F.col("event_time") - F.expr("interval 48 days"))  # 2024-01-01 is 2023-11-14
+    ev = ev.withColumn("event_time", (F.col("event_time") - F.expr("interval 1449 days")))  # now 2019-11-26
+    a, b, anchor = str(tmp_path / "a"), str(tmp_path / "b"), "2019-11-26"
+    ev = ev.withColumn("event_time", F.col("event_time") - F.expr("interval 7 days"))  # first week 2019-11-19
+    pipeline.initial(spark, b, ev, "2019-11-19", "2019-11-25", anchor)
+    weeks_ = [pipeline.weekly(spark, b, ev, anchor) for _ in range(2)]
+    assert [w["start_date"] for w in weeks_] == ["2019-11-26", "2019-12-03"]
+    assert State(spark, b).get() == {"run_state": "done", "current_date": "2019-12-17"}
+    pipeline.initial(spark, a, ev, "2019-11-19", "2019-12-09", anchor)
+    for name in ("fact", "time_dim", "user_dim"):
+        x, y = (current(spark, r, name).toPandas() for r in (a, b))
+        assert len(x) and rows(x) == rows(y), name
+    for name, key in (("category_dim", "category_id"), ("product_dim", "product_id")):  # a known key keeps the row it first got
+        x, y = (current(spark, r, name) for r in (a, b))
+        assert x.select(key).exceptAll(y.select(key)).count() == 0 and x.count() == y.count() == y.select(key).distinct().count()
+    for name in ("dau", "conversion_rate", "retention_daily", "rfm_combined"):
+        x, y = (current(spark, r, name).toPandas() for r in (a, b))
+        if name != "rfm_combined":
+            assert len(x) and rows(x) == rows(y), name
+    assert set(pipeline.ANALYSIS) <= set(E.list_folders(spark, b))
+
+
+def test_weeks_from_the_listing(spark, tmp_path):
+    from tidemark.functions.clean import parse_time
+
+    df = parse_time(spark.createDataFrame([("2019-10-01 00:00:00", 1), ("2019-10-09 00:00:00", 2)], "event_time string, v int"))
+    assert E.written_weeks(spark, str(tmp_path / "w")).count() == 0
+    E.write_missing_weeks(df.filter("v = 1"), str(tmp_path / "w"), "2019-10-01")
+    E.write_missing_weeks(df.withColumn("v", F.lit(9)), str(tmp_path / "w"), "2019-10-01")
+    assert [str(r[0]) for r in E.written_weeks(spark, str(tmp_path / "w")).collect()] == ["2019-10-01", "2019-10-08"]
+    assert sorted(r.v for r in E.read_weeks(spark, str(tmp_path / "w")).collect()) == [1, 9]
+
+
 def test_csv_union_and_weeks(spark, tmp_path):
     folder = tmp_path / "csv"
     folder.mkdir()
@@ -83,3 +148,17 @@ def test_stream_of_files(spark, tmp_path):
     (folder / "b.csv").write_text(head + "2024-01-02 00:00:00 UTC,view,1,2,a.b,x,1.5,u,s\n2024-01-01 00:00:00 UTC,view,1,2,a.b,x,1.5,u,s\n")
     go()
     assert current(spark, str(tmp_path / "root"), "fact").count() == 2
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    from tidemark.streaming.incremental import event_stream, windowed_counts
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    head = "event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session\n"
+    (folder / "a.csv").write_text(head + "2024-01-04 00:00:00 UTC,view,1,2,a.b,x,1.5,u,s\n" * 3)
+    (folder / "b.csv").write_text(head + "2024-03-01 00:00:00 UTC,view,1,2,a.b,x,1.5,u,s\n")
+    q = windowed_counts(event_stream(spark, str(folder))).writeStream.format("memory").queryName("counts").outputMode("append")
+    q = q.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(str(r.start), r.cnt) for r in spark.table("counts").collect()] == [("2024-01-04 00:00:00", 3)]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import bin_start
@@ -37,14 +39,46 @@ def impute_by_mode(df: DataFrame, group_col: str, target: str, scope: Sequence[s
     shuffle. Rows with a null group key, or whose group has no value, keep the null.
     """
     keys = [*scope, group_col]
+    return _filled(df, group_mode(df, keys, target), keys, target)
+
+
+def _filled(df: DataFrame, modes: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
     filled = F.coalesce(F.col(target), F.col("__mode"))
-    return df.join(group_mode(df, keys, target), keys, "left").withColumn(target, filled).drop("__mode").select(*df.columns)
+    return df.join(modes, list(keys), "left").withColumn(target, filled).drop("__mode").select(*df.columns)
+
+
+def impute_counting_nulls(df: DataFrame, group_col: str, target: str, scope: Sequence[str] = ("week_start",)) -> DataFrame:
+    """The variant in which nulls count as a value: a group whose most frequent value is null stays
+    unfilled. On a tie a null comes last, then the smallest value wins."""
+    keys = [*scope, group_col]
+    counts = df.groupBy(*keys, target).agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("rank"), F.col(target).isNull().alias("none"), F.col(target).alias("value")))
+    modes = counts.groupBy(*keys).agg(best.alias("best")).select(*keys, F.col("best.value").alias("__mode"))
+    return _filled(df, modes, keys, target)
 
 
 def impute(df: DataFrame, steps: Iterable[tuple[str, str]] = IMPUTE_STEPS, scope: Sequence[str] = ("week_start",)) -> DataFrame:
+    """All steps; each sees what earlier ones filled.
+
+    The steps are played through on the distinct combinations of keys and targets with their
+    counts, a frame of few rows, by windows; then every row looks up its own combination. So rows
+    are read twice and joined once, however many steps there are.
+    """
+    steps = list(steps)
+    targets = list(dict.fromkeys(t for _, t in steps))
+    others = [c for c in dict.fromkeys([*scope, *[g for g, _ in steps]]) if c not in targets]
+    combos = df.groupBy(*others, *targets).agg(F.count("*").alias("__n")).withColumns({f"__was_{t}": F.col(t) for t in targets})
     for group_col, target in steps:
-        df = impute_by_mode(df, group_col, target, scope)
-    return df
+        keys = [*scope, group_col]
+        known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+        rows = F.sum("__n").over(Window.partitionBy(*keys, target))
+        pick = F.when(F.col(target).isNotNull(), F.struct((-F.col("__rows")).alias("rank"), F.col(target).alias("value")))
+        mode = F.min(pick).over(Window.partitionBy(*keys))["value"]
+        combos = combos.withColumn("__rows", rows).withColumn("__mode", mode)
+        combos = combos.withColumn(target, F.coalesce(target, F.when(known, F.col("__mode")))).drop("__rows", "__mode")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in others] + [F.col(f"d.{t}").eqNullSafe(F.col(f"m.__was_{t}")) for t in targets]
+    joined = df.alias("d").join(combos.alias("m"), reduce(and_, same), "left")
+    return joined.select(*[F.col(f"m.{c}" if c in targets else f"d.{c}") for c in df.columns])
 
 
 def fill_unknown(df: DataFrame, columns: Sequence[str] | None = ("category_code", "brand")) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,10 +24,11 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def value_share(df: DataFrame, column: str) -> DataFrame:
-    """value, count, percent of all rows; the window runs over values only."""
+    """value, count, percent of all rows; the total is one row, joined to each value."""
     counts = df.groupBy(column).agg(F.count("*").alias("cnt"))
-    total = F.sum("cnt").over(Window.partitionBy())
-    return counts.withColumn("pct", F.round(F.col("cnt").cast("double") * 100 / total, 2))
+    total = counts.agg(F.sum("cnt").alias("__total"))
+    share = F.round(F.col("cnt").cast("double") * 100 / F.col("__total"), 2)
+    return counts.crossJoin(F.broadcast(total)).withColumn("pct", share).drop("__total")
 
 
 def key_cardinality(df: DataFrame, key: str, column: str, above: int = 2) -> DataFrame:

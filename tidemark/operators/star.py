@@ -1,7 +1,7 @@
 """Star schema: unique dimension keys, deterministic surrogate ids, the staging join.
 
 A dimension has one row for each key, so the staging join never multiplies events. time_id is
-the event time in unix seconds; event_id a hash of the fact's columns and the ordinal among
+the event time in unix microseconds; event_id a hash of the fact's columns and the ordinal among
 equal rows, so a repeated load finds the same ids.
 """
 
@@ -16,7 +16,7 @@ FACT_KEY = ["time_id", "category_id", "product_id", "user_id", "user_session", "
 
 
 def time_id(c: Column | str = "event_time") -> Column:
-    return F.unix_seconds(F.col(c).cast("timestamp") if isinstance(c, str) else c.cast("timestamp"))
+    return F.unix_micros(F.col(c).cast("timestamp") if isinstance(c, str) else c.cast("timestamp"))
 
 
 def time_dim(clean: DataFrame) -> DataFrame:
@@ -27,24 +27,43 @@ def user_dim(clean: DataFrame) -> DataFrame:
     return clean.select("user_id", "user_session").distinct()
 
 
+CODES = ["category_code", "category_lv_1", "category_lv_2", "category_lv_3"]
+
+
+def combinations(clean: DataFrame) -> DataFrame:
+    """Distinct combinations of dimension values with their count and latest time: both dimensions
+    come from this frame, so one shuffle of partial counts serves all."""
+    return clean.groupBy("category_id", *CODES, "product_id", "brand", "price").agg(F.count("*").alias("rows"), F.max(time_id()).alias("newest"))
+
+
 def category_dim(clean: DataFrame) -> DataFrame:
     """One row for each category_id: its most frequent code, on a tie the smallest."""
-    cols = ["category_code", "category_lv_1", "category_lv_2", "category_lv_3"]
-    counts = clean.groupBy("category_id", *cols).agg(F.count("*").alias("n"))
+    return _category_dim(clean.groupBy("category_id", *CODES).agg(F.count("*").alias("rows")))
+
+
+def _category_dim(combos: DataFrame) -> DataFrame:
+    cols = CODES
+    counts = combos.groupBy("category_id", *cols).agg(F.sum("rows").alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("rank"), *cols))
     return counts.groupBy("category_id").agg(best.alias("b")).select("category_id", *[F.col(f"b.{c}").alias(c) for c in cols])
 
 
-def _mode(clean: DataFrame, value: str) -> DataFrame:
-    """product_id, value: most frequent, then latest, then smallest (null first)."""
-    counts = clean.groupBy("product_id", value).agg(F.count("*").alias("n"), F.max(time_id()).alias("latest"))
-    best = F.min(F.struct((-F.col("n")).alias("a"), (-F.col("latest")).alias("b"), F.col(value).alias("v")))
-    return counts.groupBy("product_id").agg(best.alias("best")).select("product_id", F.col("best.v").alias(value))
+def product_dim(clean: DataFrame) -> DataFrame:
+    """product_id with its mode brand and mode price, picked independently: the most frequent,
+    then latest, then smallest (null first)."""
+    return _product_dim(clean.groupBy("product_id", "brand", "price").agg(F.count("*").alias("rows"), F.max(time_id()).alias("newest")))
 
 
-def product_dim(clean: DataFrame) -> DataFrame:
-    """product_id with its mode brand and mode price, picked independently."""
-    return _mode(clean, "brand").join(_mode(clean, "price"), "product_id")
+def _product_dim(combos: DataFrame) -> DataFrame:
+    """From counts by brand and price: windows over these few rows, one aggregate for both values."""
+
+    def mode(value: str) -> Column:
+        own = Window.partitionBy("product_id", value)
+        return F.struct((-F.sum("rows").over(own)).alias("a"), (-F.max("newest").over(own)).alias("b"), F.col(value).alias("v"))
+
+    picks = combos.select("product_id", mode("brand").alias("brand"), mode("price").alias("price"))
+    best = picks.groupBy("product_id").agg(F.min("brand").alias("brand"), F.min("price").alias("price"))
+    return best.select("product_id", F.col("brand.v").alias("brand"), F.col("price.v").alias("price"))
 
 
 def fact(clean: DataFrame) -> DataFrame:
@@ -62,4 +81,5 @@ def staged(clean: DataFrame) -> DataFrame:
     """Staging in one step from clean events: the time columns are functions of event_time,
     so only the category and product lookups remain as joins."""
     base = clean.select("user_id", "user_session", "category_id", "product_id", "event_type", *TIME_COLUMNS)
-    return base.join(category_dim(clean), "category_id", "left").join(product_dim(clean), "product_id", "left")
+    combos = combinations(clean)
+    return base.join(_category_dim(combos), "category_id", "left").join(_product_dim(combos), "product_id", "left")

@@ -8,14 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.events import hadoop_fs, list_folders, path_exists
+
 
 def insert_only(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """target and those source rows whose key it doesn't have."""
-    new = source.join(target.select(*keys).distinct(), list(keys), "left_anti")
-    return target.unionByName(new.select(*target.columns))
+    return target.unionByName(new_rows(target, source, keys))
+
+
+def new_rows(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The source rows whose key the target doesn't have, in the target's columns."""
+    return source.join(target.select(*keys).distinct(), list(keys), "left_anti").select(*target.columns)
 
 
 def update_insert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -32,24 +38,51 @@ def unique(source: DataFrame, keys: Sequence[str]) -> DataFrame:
     return source
 
 
-def publish(df: DataFrame, root: str, name: str) -> str:
-    """Write a new version of a table and move its pointer; readers keep the old one.
+def _folders(spark: SparkSession, root: str, name: str) -> list[tuple[int, str, bool]]:
+    """(number, folder, complete) of a table's folders, oldest first."""
+    found = [n for n in list_folders(spark, f"{root}/{name}") if n[:10].isdigit()]
+    return [(int(n[:10]), n, path_exists(spark, f"{root}/{name}/{n}/_SUCCESS")) for n in found]
 
-    A path that is being read can't be overwritten, so each version has its own.
-    """
-    import uuid
 
-    spark = df.sparkSession
-    path = f"{root}/{name}/v-{uuid.uuid4().hex}"
+def _write(df: DataFrame, root: str, name: str, kind: str) -> str:
+    number = max([n for n, *_ in _folders(df.sparkSession, root, name)], default=0) + 1
+    path = f"{root}/{name}/{number:010d}-{kind}"
     df.write.parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/{name}/current")
     return path
 
 
-def current(spark, root: str, name: str) -> DataFrame | None:
-    from tidemark.sources.events import path_exists
+def publish(df: DataFrame, root: str, name: str) -> str:
+    """Write a new full version of a table in a folder of its own; readers keep the old one.
+
+    Spark puts _SUCCESS into a folder in the last step of a write, and only folders with it
+    count. So there is no pointer that could be missing: before that step the old version is
+    the newest, after it the new one. A table has one writer at a time.
+    """
+    return _write(df, root, name, "full")
+
+
+def append(df: DataFrame, root: str, name: str) -> str:
+    """Add rows to a table: only these are written, the files that are there stay as they are."""
+    return _write(df, root, name, "add")
+
+
+def paths(spark: SparkSession, root: str, name: str) -> list[str]:
+    """The newest complete full version and all complete additions after it."""
+    done = [n for _, n, complete in _folders(spark, root, name) if complete]
+    last = max([i for i, n in enumerate(done) if n.endswith("-full")], default=0)
+    return [f"{root}/{name}/{n}" for n in done[last:]]
+
+
+def current(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    found = paths(spark, root, name)
+    return spark.read.parquet(*found) if found else None
+
 
-    pointer = f"{root}/{name}/current"
-    if not path_exists(spark, pointer):
-        return None
-    return spark.read.parquet(spark.read.schema("path string").json(pointer).first()[0])
+def prune(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Delete what came before the newest full version; for when no reader is at it."""
+    keep = {p.rsplit("/", 1)[-1] for p in paths(spark, root, name)}
+    old = [n for _, n, _ in _folders(spark, root, name) if keep and n < min(keep)]
+    for n in old:
+        fs, p = hadoop_fs(spark, f"{root}/{name}/{n}")
+        fs.delete(p, True)
+    return old

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,12 @@ from tidemark.functions import clean as C
 from tidemark.functions import dates as D
 from tidemark.operators import quality, star, upsert
 from tidemark.plans import metrics as M
+from tidemark.plans import pipeline
 from tidemark.plans.weeks import week_frame
+from tidemark.schema import RAW, RAW_COLUMNS, STAR, reset_tables
+from tidemark.session import shared_path
 from tidemark.sources import events as E
-from tidemark.sources.fixtures import fx_events, fx_orders
+from tidemark.sources.fixtures import fx_events, fx_orders, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -281,7 +285,7 @@ add("duplicate_keys", lambda s, d: quality.duplicate_keys(fx_events(s, d), ["eve
 add("value_share", lambda s, d: quality.value_share(fx_events(s, d), "brand"), f"WITH {_FX} SELECT brand, count(*) AS cnt, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM fx), 2) AS pct FROM fx GROUP BY 1")
 add("key_cardinality", lambda s, d: quality.key_cardinality(fx_events(s, d), "category_id", "category_code"), f"WITH {_FX} SELECT category_id, count(DISTINCT coalesce(category_code, 'NULL')) AS n_values FROM fx GROUP BY 1 HAVING count(DISTINCT coalesce(category_code, 'NULL')) > 2")
 add("first_fill", lambda s, d: quality.first_fill(fx_events(s, d), "product_id", "brand").select("user_id", "event_time", "product_id", "brand"), f"WITH {_FX} SELECT user_id, event_time, product_id, coalesce(brand, min(brand) OVER (PARTITION BY product_id)) AS brand FROM fx")
-add("orphan_check", lambda s, d: quality.orphans(fx_events(s, d).select("product_id", "event_time"), star.product_dim(cleaned(s, d)).filter("cast(product_id as int) % 11 != 0"), "product_id"), f"WITH {_STAR} SELECT product_id, event_time FROM fx WHERE product_id NOT IN (SELECT product_id FROM product_dim WHERE CAST(product_id AS INTEGER) % 11 <> 0)")
+add("orphan_check", lambda s, d: quality.orphans(table(s, d, "customer").select("c_custkey", "c_name"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey"), "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 add("value_range", lambda s, d: quality.value_range(fx_events(s, d), ["event_time", "price"]), f"WITH {_FX} SELECT min(event_time) AS min_event_time, max(event_time) AS max_event_time, min(price) AS min_price, max(price) AS max_price FROM fx")
 
 # Upserts --------------------------------------------------------------------------------
@@ -332,49 +336,141 @@ def _merge_fact(s: SparkSession, d: str) -> DataFrame:
 add("merge_fact", _merge_fact, ORACLE["fact"])
 
 
+#: Windows of target (all before the first) and source (from the second to the third): they
+#: overlap, so a MERGE keeps, updates and inserts rows.
+DAYS, WEEKS, MONTHS = ("2024-01-05", "2024-01-04", "2024-01-07"), ("2024-01-16", "2024-01-10", "2024-02-01"), ("1998-07-01", "1998-05-10", "1999-03-01")
+FIRST_MONTHS = ("1995-03-15", "1995-02-10", "1995-08-01")  # while users are still new
+MERGES: dict[str, tuple[Query, Query, list[str]]] = {}
+
+
+def _span(ev: DataFrame, start: str | None, end: str) -> DataFrame:
+    t = F.col("event_time")
+    late = t < F.lit(end).cast("timestamp_ntz")
+    return ev.filter(late if start is None else late & (t >= F.lit(start).cast("timestamp_ntz")))
+
+
 def _merge_staging(s: SparkSession, d: str) -> DataFrame:
-    """Staging rows of the last week are inserted by event_id; known ones stay."""
+    """Staging rows of the window are inserted by event_id; known ones stay, though the source's differ."""
     c = cleaned(s, d)
     f = star.fact(c)
     full = star.staging(f, star.category_dim(c), star.product_dim(c), star.time_dim(c))
-    return upsert.insert_only(_before(full), full, ["event_id"]).drop("event_id", "time_id")
-
-
-add("merge_staging_fact", _merge_staging, ORACLE["fact_star_join"])
+    source = _span(full, DAYS[1], DAYS[2]).withColumn("brand", F.lit("changed"))
+    return upsert.insert_only(_span(full, None, DAYS[0]), source, ["event_id"]).drop("event_id", "time_id")
 
 
-def on_merge(name: str, f: Callable[[DataFrame], DataFrame], keys: list[str], frame: Query, like: str) -> None:
-    """Metric as of the cut, upserted with the metric recomputed from all events.
-
-    Distinct counts and cohorts can't be updated from the new rows alone, so the source is
-    computed from complete staging data; the result equals a full refresh.
-    """
-    add(f"merge_{name}", lambda s, d: upsert.update_insert(f(_before(frame(s, d))), f(frame(s, d)), keys), ORACLE[like])
+add(
+    "merge_staging_fact", _merge_staging,
+    f"SELECT * REPLACE (CASE WHEN event_time >= TIMESTAMP '{DAYS[0]}' THEN 'changed' ELSE brand END AS brand) FROM ({ORACLE['fact_star_join']}) WHERE event_time < TIMESTAMP '{DAYS[2]}'",
+)
 
 
-for _name, _f, _keys in (
-    ("retention_daily", M.retention_daily, ["cohort_date", "day_diff"]),
-    ("retention_weekly", M.retention_weekly, ["cohort_month", "week_number"]),
-    ("retention_monthly", M.retention_monthly, ["cohort_date", "month_diff"]),
-    ("retention_monthly_rate", M.retention_monthly_rate, ["cohort_month", "month_label"]),
-    ("dau", M.dau, ["event_date"]),
-    ("wau_iso", M.wau_iso, ["event_date"]),
-    ("mau", M.mau, ["event_date"]),
-    ("stickiness", M.stickiness, ["event_date"]),
-    ("active_users_full", M.active_users_full, ["event_date"]),
-    ("event_type_time_distribution", M.event_type_time_distribution, ["event_time_month", "event_time_day_name", "event_time_hour", "event_type"]),
-    ("conversion_rate", M.conversion_rate, ["event_time_ymd"]),
-    ("funnel", M.funnel, ["month", "event_type"]),
-    ("count_visitors", M.count_visitors, ["event_time_ymd"]),
+def on_merge(like: str, f: Callable[[DataFrame], DataFrame], keys: list[str], frame: Query, window: tuple[str, str, str], name: str | None = None) -> None:
+    """Metric of the events before window[0], upserted with that of those from window[1] to window[2]."""
+    name = f"merge_{name or like}"
+    target, source = (lambda s, d: f(_span(frame(s, d), None, window[0]))), (lambda s, d: f(_span(frame(s, d), window[1], window[2])))
+    MERGES[name] = target, source, keys
+    first = f", {_FIRST} "
+    head, body = ORACLE[like].split(first, 1) if first in ORACLE[like] else ORACLE[like].split("SELECT * FROM st) ", 1)
+    head = head if first in ORACLE[like] else head + "SELECT * FROM st)"
+    part = lambda cond: f"(WITH ev AS (SELECT * FROM all_ev WHERE {cond}){first}{body})"
+    same = " AND ".join(f"n.{k} = t.{k}" for k in keys)
+    add(
+        name, lambda s, d: upsert.update_insert(target(s, d), source(s, d), keys),
+        f"""{head}, all_ev AS (SELECT * FROM ev), t AS {part(f"event_time < TIMESTAMP '{window[0]}'")},
+n AS {part(f"event_time >= TIMESTAMP '{window[1]}' AND event_time < TIMESTAMP '{window[2]}'")}
+SELECT * FROM n UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM n WHERE {same})""",
+    )
+
+
+for _name, _f, _keys, _window in (
+    ("dau", M.dau, ["event_date"], DAYS),
+    ("wau_iso", M.wau_iso, ["event_date"], WEEKS),
+    ("active_users_full", M.active_users_full, ["event_date"], DAYS),
+    ("event_type_time_distribution", M.event_type_time_distribution, ["event_time_month", "event_time_day_name", "event_time_hour", "event_type"], DAYS),
+    ("conversion_rate", M.conversion_rate, ["event_time_ymd"], DAYS),
+    ("count_visitors", M.count_visitors, ["event_time_ymd"], DAYS),
 ):
-    on_merge(_name, _f, _keys, timed, _name)
-
-for _name, _f, _keys in (
-    ("price_distribution", M.price_distribution, ["event_time_month", "event_time_day_name", "event_time_hour", "event_type"]),
-    ("monthly_price_event_type", M.monthly_price_event_type, ["month", "event_type"]),
-):
-    on_merge(_name, _f, _keys, staged, _name)
+    on_merge(_name, _f, _keys, timed, _window)
+
+on_merge("price_distribution", M.price_distribution, ["event_time_month", "event_time_day_name", "event_time_hour", "event_type"], staged, DAYS)
+
+on_orders("orders_mau", M.mau, _MAU)
+on_orders("orders_funnel", M.funnel, _FUNNEL)
+for _name, _like, _f, _keys in (
+    ("retention_daily", "orders_retention_daily", M.retention_daily, ["cohort_date", "day_diff"]),
+    ("retention_weekly", "orders_retention_weekly", M.retention_weekly, ["cohort_month", "week_number"]),
+    ("retention_monthly", "orders_retention_monthly", M.retention_monthly, ["cohort_date", "month_diff"]),
+    ("retention_monthly_rate", "orders_retention_monthly_rate", M.retention_monthly_rate, ["cohort_month", "month_label"]),
+    ("mau", "orders_mau", M.mau, ["event_date"]),
+    ("stickiness", "orders_stickiness", M.stickiness, ["event_date"]),
+    ("funnel", "orders_funnel", M.funnel, ["month", "event_type"]),
+    ("monthly_price_event_type", "orders_monthly_price", M.monthly_price_event_type, ["month", "event_type"]),
+    ("purchased_order", "orders_purchased", M.purchased_order, ["event_time_ymd"]),
+    ("category_lv2_top10", "orders_category_top10", M.category_lv2_top, ["month"]),  # a month's ranking is replaced as a whole
+):
+    on_merge(_like, _f, _keys, fx_orders, FIRST_MONTHS if "retention" in _name else MONTHS, _name)
 
-add("merge_purchased_order", lambda s, d: upsert.update_insert(M.purchased_order(_before(staged(s, d))), M.purchased_order(staged(s, d)), ["event_time_ymd"]), ORACLE["purchased_order"])
-add("merge_category_lv2_top10", lambda s, d: (lambda new: M.category_lv2_top(_before(staged(s, d))).join(new.select("month").distinct(), "month", "left_anti").unionByName(new))(M.category_lv2_top(staged(s, d))), ORACLE["category_lv2_top10"])
 add("merge_latest_date", lambda s, d: M.latest_date(_before(timed(s, d))).unionByName(M.latest_date(_after(timed(s, d)))).agg(F.max("latest_event_time").alias("latest_event_time")), ORACLE["latest_date"])
+
+# Tables -----------------------------------------------------------------------------------
+
+
+def _rewritten_weeks(s: SparkSession, d: str) -> DataFrame:
+    """Cleaned events by weeks; the week of the cut is written again, as after a retry."""
+    path, c = shared_path(s, "weeks"), cleaned(s, d)
+    E.write_weeks(c, path, ANCHOR)
+    E.write_weeks(_span(c, CUT, "2024-01-29"), path, ANCHOR)
+    return E.read_weeks(s, path).select(*RAW_COLUMNS, F.col("week_start").cast("date").alias("week_start"))
+
+
+def _missing_weeks_written(s: SparkSession, d: str) -> DataFrame:
+    """Weeks that are there stay as they are, though the second write has other rows for them."""
+    path, c = shared_path(s, "weeks"), cleaned(s, d)
+    E.write_weeks(_before(c), path, ANCHOR)
+    E.write_missing_weeks(c.withColumn("brand", F.lit("changed")), path, ANCHOR)
+    return E.read_weeks(s, path).select(*RAW_COLUMNS)
+
+
+def _copied(s: SparkSession, d: str, weeks: list[str]) -> DataFrame:
+    """The raw table: a full copy, then the copy of each of the weeks again."""
+    source, target = shared_path(s, "source"), shared_path(s, "raw")
+    cleaned(s, d).write.parquet(source)
+    E.copy_into(s, source, target)
+    for week in weeks:
+        E.copy_into(s, source, target, week)
+    return E.read_weeks(s, target).select(*RAW_COLUMNS)
+
+
+def _reset(s: SparkSession, d: str) -> DataFrame:
+    """Rows of each table after a reset of tables that held some."""
+    root = shared_path(s, "tables")
+    star.user_dim(fx_events(s, d)).write.parquet(f"{root}/user_dim")
+    reset_tables(s, root)
+    counts = [s.read.parquet(f"{root}/{n}").agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), F.lit(len(k.fields)).cast("long").alias("n_columns"), "n_rows") for n, k in {"raw_data": RAW, **STAR}.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _loaded(name: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        """Loaded up to the cut, then the rest, then the rest again: appended once."""
+        root, ev = shared_path(s, "star"), fx_events(s, d)
+        for part in (_before(ev), _after(ev), _after(ev)):
+            pipeline.load(s, root, C.clean_events(part, ANCHOR))
+        return upsert.current(s, root, name)
+
+    return run
+
+
+_RAW_SQL = f"WITH {_CLEAN} SELECT {', '.join(RAW_COLUMNS)} FROM clean"
+add("weeks_rewritten", _rewritten_weeks, f"SELECT *, CAST(date_trunc('week', event_time) AS DATE) AS week_start FROM ({_RAW_SQL})")
+add("weeks_missing_written", _missing_weeks_written, f"SELECT * REPLACE (CASE WHEN event_time >= TIMESTAMP '{CUT}' THEN 'changed' ELSE brand END AS brand) FROM ({_RAW_SQL})")
+add("copy_into_full", lambda s, d: _copied(s, d, []), _RAW_SQL)
+add("copy_into_week", lambda s, d: _copied(s, d, ["2024-01-08", "2024-01-15"]), _RAW_SQL)
+add("reset_tables", _reset, "SELECT * FROM (VALUES ('raw_data', 18, 0), ('time_dim', 8, 0), ('category_dim', 5, 0), ('product_dim', 3, 0), ('user_dim', 2, 0), ('fact', 7, 0)) AS v(table_name, n_columns, n_rows)")
+add("incremental_fact", lambda s, d: _loaded("fact")(s, d).drop("event_id"), f"WITH {_EV} SELECT CAST(epoch_us(event_time) AS BIGINT) AS time_id, category_id, product_id, user_id, user_session, event_type FROM ev")
+add("incremental_user_dim", _loaded("user_dim"), ORACLE["user_dim"])
+add("impute_counting_nulls", lambda s, d: C.impute_counting_nulls(_weekly(s, d), "product_id", "brand").select("product_id", "event_time", "user_id", "brand"), f"""WITH {_EV},
+ c AS (SELECT week_start, product_id, brand, count(*) AS n FROM ev GROUP BY ALL),
+ m AS (SELECT week_start, product_id, brand AS mode FROM (SELECT *, row_number() OVER (PARTITION BY week_start, product_id ORDER BY n DESC, brand IS NULL, brand) AS rn FROM c) WHERE rn = 1)
+ SELECT product_id, event_time, user_id, coalesce(brand, mode) AS brand FROM ev LEFT JOIN m USING (week_start, product_id)""")
+add("windowed_star_join", lambda s, d: _span(staged(s, d), "2024-01-08", "2024-01-15"), f"SELECT * FROM ({ORACLE['fact_star_join']}) WHERE event_time >= TIMESTAMP '2024-01-08' AND event_time < TIMESTAMP '2024-01-15'")

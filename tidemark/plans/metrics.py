@@ -5,7 +5,6 @@ Money adds prices as decimals rounded to cents, so sums don't depend on the orde
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,14 +129,17 @@ def _quintile(n: Column, rank: Column) -> Column:
 def rfm(ev: DataFrame) -> DataFrame:
     """Scores 1..5 of purchasing users. Ties go by user_id.
 
-    The base (one row for each purchaser) is read four times, so it is cached on first use
-    (memory, else disk); staging behind it is computed once.
+    The base (one row for each purchaser) is read several times behind one reused shuffle.
     """
-    last = ev.agg(F.max("event_time").alias("newest"))
-    base = purchases(ev).groupBy("user_id").agg(
-        F.max("event_time").alias("last"), F.count("*").alias("frequency"), money().alias("monetary")
-    ).join(F.broadcast(last), F.lit(True)).select("user_id", D.day_steps("last", "newest").alias("recency"), "frequency", "monetary")
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    bought = F.col("event_type") == "purchase"
+    users = ev.groupBy("user_id").agg(
+        F.max("event_time").alias("seen"), F.max(F.when(bought, F.col("event_time"))).alias("last"), F.count_if(bought).alias("frequency"),
+        money(F.when(bought, F.col("price"))).alias("monetary"),
+    )
+    newest = users.agg(F.max("seen").alias("newest"))
+    base = users.crossJoin(F.broadcast(newest)).filter("last is not null").select(
+        "user_id", D.day_steps("last", "newest").alias("recency"), "frequency", "monetary"
+    )  # a user's purchases and the newest event of all, from one read
     keys = {"recency": F.col("recency"), "frequency": -F.col("frequency"), "monetary": -F.col("monetary")}
     scored = _scores(base, keys)
     total = F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score")
@@ -153,22 +155,38 @@ def rfm(ev: DataFrame) -> DataFrame:
 def _scores(base: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """base with NAME_score = 6 - ntile(5) by ascending key, then user_id, for each key.
 
-    All keys are ranked in one long frame. Approximate percentiles (a row for each key) cut it
-    into parts; a row's rank is its place in its part plus the rows of earlier parts, which is
-    exact wherever the cuts lie. So no task holds all users.
+    All keys are ranked in one long frame. Approximate percentiles cut it into parts: the rows
+    between two cuts, and those that equal a cut. The latter, which may be most of all users (say,
+    all who bought once), are cut again by user_id, which is all that orders them. A row's rank is
+    its place in its part plus the rows of earlier parts, exact wherever the cuts lie; so neither
+    all users nor all of one key meet in a task.
     """
+    parts = min(1000, max(50, 4 * int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    steps = [i / parts for i in range(1, parts)]
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), k.cast("double").alias("k")) for n, k in keys.items()])
     long = base.select("*", F.explode(pairs).alias("p")).select(*base.columns, "p.name", "p.k")
-    cuts = long.groupBy("name").agg(F.percentile_approx("k", [i / 50 for i in range(1, 50)], 1000).alias("cuts"))
-    placed = long.join(F.broadcast(cuts), "name").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("k")))).drop("cuts")
-    sizes = placed.groupBy("name", "part").agg(F.count("*").alias("size"))
+    # The first six bytes behind what all ids share, as a number: ascending with the id.
+    ends = base.agg(F.min("user_id").alias("lo"), F.max("user_id").alias("hi"))
+    differs = F.filter(F.sequence(F.lit(1), F.length("lo") + 1), lambda i: F.substring("lo", F.lit(1), i) != F.substring("hi", F.lit(1), i))
+    shared = ends.select(F.coalesce(F.get(differs, F.lit(0)), F.length("lo") + 1, F.lit(1)).alias("from"))
+    digits = F.rpad(F.substring(F.hex(F.substring("user_id", F.col("from"), F.lit(6))), 1, 12), 12, "0")
+    coded = long.crossJoin(F.broadcast(shared)).withColumn("u", F.conv(digits, 16, 10).cast("double")).drop("from")
+    cuts = coded.groupBy("name").agg(
+        F.percentile_approx("k", steps, 20 * parts).alias("cuts"), F.percentile_approx("u", steps, 20 * parts).alias("ids")
+    )  # at most two lists of 1,000 numbers for each key
+    below = lambda cut, x: F.size(F.filter(cut, lambda c: c < F.col(x)))
+    tied = F.array_contains("cuts", F.col("k"))
+    placed = coded.join(F.broadcast(cuts), "name").withColumns(
+        {"part": 2 * below("cuts", "k") + tied.cast("int"), "sub": F.when(tied, below("ids", "u")).otherwise(0)}
+    ).drop("cuts", "ids", "u")
+    sizes = placed.groupBy("name", "part", "sub").agg(F.count("*").alias("size"))
     by = Window.partitionBy("name")
-    ahead = by.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = by.orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "name", "part", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("before"), F.sum("size").over(by).alias("n")
-    )  # at most 50 rows for each key
-    rank = F.row_number().over(Window.partitionBy("name", "part").orderBy("k", "user_id")) + F.col("before")
-    score = placed.join(F.broadcast(offsets), ["name", "part"]).withColumn("rank", rank).withColumn(
+        "name", "part", "sub", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("before"), F.sum("size").over(by).alias("n")
+    )  # a row for each part; AQE broadcasts it if it is small
+    rank = F.row_number().over(Window.partitionBy("name", "part", "sub").orderBy("k", "user_id")) + F.col("before")
+    score = placed.join(offsets, ["name", "part", "sub"]).withColumn("rank", rank).withColumn(
         "score", (6 - _quintile(F.col("n"), F.col("rank"))).cast("long")
     )
     each = [F.max(F.when(F.col("name") == n, F.col("score"))).alias(f"{n}_score") for n in keys]

@@ -1,21 +1,23 @@
 """The initial and the weekly load over Parquet tables under one root.
 
 Staging and analysis tables are refreshed in full from the star schema, so distinct counts
-and cohorts are always right; the star schema itself grows by upserts. A table's new version
-is written beside the old one and then published.
+and cohorts are always right; the star schema itself grows by appended rows. A table's new version
+is written beside the old one and counts once it is complete.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions.clean import clean_events
 from tidemark.functions.dates import in_window
 from tidemark.operators import star
-from tidemark.operators.upsert import current, insert_only, publish
+from tidemark.operators.upsert import append, current, new_rows, paths, publish
 from tidemark.plans import metrics
 from tidemark.plans.state import State
 
+MAX_PARTS = 60
 DIM_KEYS = {"time_dim": ["time_id"], "category_dim": ["category_id"], "product_dim": ["product_id"], "user_dim": ["user_id", "user_session"]}
 
 ANALYSIS = {
@@ -39,13 +41,23 @@ def build_star(clean: DataFrame) -> dict[str, DataFrame]:
 def load(spark: SparkSession, root: str, clean: DataFrame) -> None:
     """Upsert clean events into the star schema: new keys are added, known ones stay.
 
-    Events are known by their event_id, which a reload of the same week finds again, so
-    loading a week twice changes nothing.
+    Only new rows are written, as additions to the table's files; after MAX_PARTS additions a
+    table is written anew as one. Events are known by their event_id, which a reload of the same
+    week finds again, so loading a week twice changes nothing. Known events are looked for among
+    those of the same times only (time_id's range, which the files' statistics prune).
     """
     for name, df in build_star(clean).items():
         old = current(spark, root, name)
-        keys = ["event_id"] if name == "fact" else DIM_KEYS[name]
-        publish(df if old is None else insert_only(old, df, keys), root, name)
+        if old is None:
+            publish(df, root, name)
+            continue
+        known, keys = old, DIM_KEYS.get(name, ["event_id"])
+        if "time_id" in df.columns:
+            low, high = df.agg(F.min("time_id"), F.max("time_id")).first()
+            known = old.filter(F.col("time_id").between(low, high))
+        append(new_rows(known, df, keys).select(*old.columns), root, name)
+        if len(paths(spark, root, name)) > MAX_PARTS:
+            publish(current(spark, root, name), root, name)
 
 
 def staging(spark: SparkSession, root: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 START = dt.date(2019, 11, 26)
+DAY, WEEK = dt.timedelta(days=1), dt.timedelta(days=7)
 
 
 def week_list(start: str, end: str, days: int = 7) -> dict[str, dict[str, str]]:
@@ -25,13 +26,13 @@ def week_frame(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 
 def parse_date(text: str) -> dt.date:
-    """YYYY-MM-DD, else YYMMDD."""
-    for form in ("%Y-%m-%d", "%y%m%d"):
-        try:
-            return dt.datetime.strptime(text, form).date()
-        except ValueError:
-            continue
-    raise ValueError(f"neither YYYY-MM-DD nor YYMMDD: {text}")
+    """A day as YYYY-MM-DD or, in folder names, YYMMDD."""
+    if len(text) == 6 and text.isdigit():
+        text = f"20{text[:2]}-{text[2:4]}-{text[4:]}"
+    try:
+        return dt.date.fromisoformat(text)
+    except ValueError:
+        raise ValueError(f"neither YYYY-MM-DD nor YYMMDD: {text}") from None
 
 
 def folder(prefix: str, start: str) -> tuple[str, str]:
@@ -41,7 +42,8 @@ def folder(prefix: str, start: str) -> tuple[str, str]:
 
 
 def run_window(current: str, start: dt.date = START) -> dict[str, str]:
-    """The week to load when the clock stands at current, and the next clock."""
-    now = dt.date.fromisoformat(current)
-    first = start + dt.timedelta(weeks=(now - start).days // 7 - 1)
-    return {"start_date": str(first), "end_date": str(first + dt.timedelta(days=6)), "next_date": str(now + dt.timedelta(weeks=1))}
+    """The week to load when the clock stands at current: the bin of the calendar anchored at
+    ``start`` that comes before the clock's own bin. The clock then goes on by a bin."""
+    clock = dt.date.fromisoformat(current)
+    own_bin = clock - (clock - start) % WEEK
+    return {"start_date": str(own_bin - WEEK), "end_date": str(own_bin - DAY), "next_date": str(clock + WEEK)}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +18,14 @@ def get_session(app: str = "tidemark", conf: dict[str, str] | None = None) -> Sp
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
     return SparkSession.builder.appName(app).config(map=settings | (conf or {})).getOrCreate()
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the cluster's shared folder (spark.checkpoint.dir). Where that is unset, a folder
+    of this machine, which is right in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), f"tidemark-{os.getpid()}")
+    return f"{root.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"

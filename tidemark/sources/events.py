@@ -59,13 +59,31 @@ def save_union(frames: dict[str, DataFrame], folder: str) -> int:
 
 
 def write_weeks(df: DataFrame, path: str, anchor: str, column: str = "event_time") -> None:
-    """One write, a folder for each week; only the weeks in df are replaced. Failures raise."""
+    """One write, a folder for each week; only the weeks in df are replaced. Failures raise.
+
+    Rows go by week and a hash of as many values as a quarter of the shuffle partitions, so a week
+    of any size is spread and AQE joins small pieces.
+    """
     weekly = df.withColumn("week_start", bin_start(column, anchor))
-    weekly.repartition("week_start", F.pmod(F.xxhash64(*df.columns), F.lit(16))).write.mode("overwrite").option(
+    spread = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    weekly.repartition("week_start", F.pmod(F.xxhash64(*df.columns), F.lit(spread))).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("week_start").parquet(path)
 
 
+def written_weeks(spark: SparkSession, path: str) -> DataFrame:
+    """week_start of the weeks that have a folder, from the listing; no row is read."""
+    names = [n.split("=", 1)[1] for n in list_folders(spark, path) if n.startswith("week_start=")]
+    return spark.createDataFrame([(n,) for n in names], "week_start string").select(F.col("week_start").cast("date"))
+
+
+def write_missing_weeks(df: DataFrame, path: str, anchor: str, column: str = "event_time") -> None:
+    """Write only the weeks of df that have no folder yet; those that are there stay untouched."""
+    weekly = df.withColumn("__week", bin_start(column, anchor))
+    there = written_weeks(df.sparkSession, path).withColumnRenamed("week_start", "__week")
+    write_weeks(weekly.join(F.broadcast(there), "__week", "left_anti").drop("__week"), path, anchor, column)
+
+
 def read_weeks(spark: SparkSession, path: str, weeks: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df if weeks is None else df.filter(F.col("week_start").cast("string").isin(weeks))
@@ -76,13 +94,14 @@ def missing_weeks(spark: SparkSession, weeks: DataFrame, present: DataFrame) ->
     return weeks.join(present.select("week_start").distinct(), "week_start", "left_anti")
 
 
-def copy_into(spark: SparkSession, source: str, target: str, week: str | None = None, anchor: str = "2024-01-01") -> None:
+def copy_into(spark: SparkSession, source: str, target: str, week: str | None = None, anchor: str = "2024-01-01", skip_corrupt: bool = False) -> None:
     """Load Parquet files by column name into the raw table.
 
     Without a week the table is replaced. With one, that week's partition is replaced, so a
-    retry never appends twice. Unreadable files are skipped.
+    retry never appends twice. An unreadable file is an error, unless skip_corrupt says to go on
+    without it.
     """
-    df = spark.read.option("ignoreCorruptFiles", True).schema(RAW).parquet(source)
+    df = spark.read.option("ignoreCorruptFiles", skip_corrupt).schema(RAW).parquet(source)
     if week is not None:
         df = df.filter(bin_start("event_time", anchor) == F.lit(week).cast("date"))
     write_weeks(df, target, anchor)

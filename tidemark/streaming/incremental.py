@@ -20,6 +20,8 @@ def run_available(spark: SparkSession, folder: str, root: str, checkpoint: str,
     """Take all files that are there, one upsert for each batch, then stop.
 
     A batch that is run again after a failure finds its rows by their ids, so it adds nothing.
+    Imputation sees the rows of its batch, so a batch should hold whole weeks; equal events count
+    as often as the batch with most of them holds them.
     """
 
     def upsert(batch: DataFrame, _: int) -> None:
