@@ -306,6 +306,16 @@ def test_warc(spark):
     assert warc.captures(df.filter("false")).count() == 0
 
 
+def test_warc_of_fully_repeated_pages(spark):
+    """Of rows equal in all columns one is the response, the others revisit it."""
+    rows = [(5, "u", "same")] * 6 + [(7, "u", "same"), (9, "v", None), (9, "v", None), (1, "w", "other"), (None, "x", "y"), (None, "x", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = [(r.response.page_id, r.response.warc_type, r.response.refers_to) for r in warc.captures(df).collect()]
+    want = [("5", "response", None)] + [("5", "revisit", "5")] * 5 + [("7", "revisit", "5"), ("9", "response", None), ("9", "revisit", "9"), ("1", "response", None)]
+    assert sorted(map(str, got)) == sorted(map(str, want + [("", "response", None), ("", "revisit", "")]))
+    assert warc.captures(df).select("capture_id").distinct().count() == len(rows)
+
+
 def test_trees_and_isotonic():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((2000, 5))
@@ -373,5 +383,9 @@ def test_language(spark):
     held = [r for r in got if r.held_out and r.doc_id in truth]
     assert held and sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.95
     assert {r.lang_pred for r in got if r.doc_id in (240, 241, 242)} == {"und"}
+    marks = ["² ½ ①", "12 — _", "\u0301 Ⅻ", "五 ²", "ß"]
+    odd = rows + [(300 + i, t, None, None) for i, t in enumerate(marks)]
+    found = language.predict_language(frame(spark, odd)).filter("doc_id >= 300").collect()
+    assert [r.lang_pred == "und" for r in sorted(found)] == [True, True, True, False, False]
     assert {r.lang_pred for r in language.predict_language(frame(spark, [(1, "a b", None, None)])).collect()} == {"und"}
     assert language.predict_language(frame(spark, [])).count() == 0

@@ -17,8 +17,8 @@ share one, also when a page_id repeats.
 Defined cases: null html counts as an empty payload. A null url gives an empty target URI.
 CR and LF in a url are percent-encoded. A null page_id is kept (as an empty header value)
 and sorts last when the smallest page_id of equal payloads is sought. Of rows with equal
-page_id and payload the smallest hash of the url is the response; rows equal in all three
-columns are all responses. Payloads of fewer than ``min_revisit_bytes`` bytes are never revisits. Extra columns are ignored. An
+page_id and payload the smallest hash of the url is the response; of rows equal in all three
+columns one is. Payloads of fewer than ``min_revisit_bytes`` bytes are never revisits. Extra columns are ignored. An
 empty table gives an empty archive and no captures.
 """
 
@@ -89,11 +89,12 @@ def write_archive(
         ),
         "payloads",
     )
-    first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url_hash"))
-    many = digests.groupBy("sha", "n_bytes").agg(first.alias("first"), F.count("*").alias("n"))
+    each = digests.groupBy("sha", "n_bytes", "page_id", "url_hash").agg(F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url_hash", "copies"))
+    many = each.groupBy("sha", "n_bytes").agg(first.alias("first"), F.sum("copies").alias("n"))
     firsts = materialize(
         many.filter((F.col("n") > 1) & (F.col("n_bytes") >= min_revisit_bytes)).select(
-            F.col("sha").alias("f_sha"), F.col("first.page_id").alias("f_id"), F.col("first.url_hash").alias("f_url")
+            F.col("sha").alias("f_sha"), F.col("first.page_id").alias("f_id"), F.col("first.url_hash").alias("f_url"), F.col("first.copies").alias("f_copies")
         ),
         "first-captures",
     )
@@ -101,6 +102,14 @@ def write_archive(
     page = page.join(sized(firsts), F.col("sha") == F.col("f_sha"), "left")
     is_first = F.col("page_id").eqNullSafe(F.col("f_id")) & (F.col("url_hash") == F.col("f_url"))
     page = page.withColumn("revisit", F.col("f_sha").isNotNull() & ~is_first)
+    if firsts.filter("f_copies > 1").limit(1).count():
+        # Rows equal in all columns: written down with their numbers, of which the smallest is the response.
+        same = F.coalesce(F.col("f_copies") > 1, F.lit(False)) & ~F.col("revisit")
+        copies = materialize(page.filter(same), "repeated-pages")
+        low = materialize(copies.groupBy("sha").agg(F.min("seq").alias("low")), "first-copies")
+        marked = copies.join(sized(low), "sha").withColumn("revisit", F.col("seq") != F.col("low")).select(page.columns)
+        tagged = lambda df, t: df.withColumn("seq", F.concat(F.lit(t), F.col("seq").cast("string")))
+        page = tagged(page.filter(~same), "a").unionByName(tagged(marked, "b"))
     pid = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     me = _uuid(F.lit("capture"), F.col("page_id"), F.col("seq"))
     http = F.concat(
