@@ -27,13 +27,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, materialize
+from tidemark.llm.common import WORD, materialize, n_shuffle
 
 
 def _first_of(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Active positions with rank := first position of the class of equal keys."""
-    classes = df.groupBy(*keys).agg(F.min("pos").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return df.join(classes, keys).drop("n", *keys).withColumnRenamed("first", "rank")
+    """Active positions with rank := first position of the class of equal keys.
+
+    A class with more than its share of a task's rows is dealt out by salt, so a line of any
+    frequency is spread over the join's tasks.
+    """
+    tasks = n_shuffle(df.sparkSession)
+    classes = materialize(df.groupBy(*keys).agg(F.min("pos").alias("first"), F.count("*").alias("n")).filter("n > 1"), "classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot = classes.filter(F.col("n") > total / (4 * tasks)).select(*keys, F.lit(True).alias("hot"))  # fewer than 4 * tasks rows
+    salted = df.join(F.broadcast(hot), keys, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("pos"), F.lit(tasks)).cast("int")).otherwise(0))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(tasks - 1))).otherwise(F.array(F.lit(0)))
+    dealt = classes.join(F.broadcast(hot), keys, "left").select(*keys, "first", F.explode(salts).alias("salt"))
+    return salted.drop("hot").join(dealt, [*keys, "salt"]).drop("salt", *keys).withColumnRenamed("first", "rank")
 
 
 def repeated_lines(

@@ -15,7 +15,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_run=2, long_words=50).select(
         "doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256")
     )
 
@@ -87,13 +87,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
-    "op1_line_dedup": """
+    "op1_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 e AS (SELECT doc_id, unnest(lines) AS s, unnest(range(len(lines))) AS line FROM d),
 p AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY line) AS s2,
              lead(line) OVER (PARTITION BY doc_id ORDER BY line) AS l2 FROM e),
 q AS (SELECT doc_id, line, row_number() OVER (PARTITION BY s, s2 ORDER BY doc_id, line) AS nth FROM p WHERE l2 IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, line + k AS line FROM q, (VALUES (0), (1)) AS v(k) WHERE nth > 1)
+long AS (SELECT doc_id, line, row_number() OVER (PARTITION BY s ORDER BY doc_id, line) AS nth FROM e
+         WHERE len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) >= 50),
+gone AS (SELECT doc_id, line + k AS line FROM q, (VALUES (0), (1)) AS v(k) WHERE nth > 1
+         UNION SELECT doc_id, line FROM long WHERE nth > 1)
 SELECT e.doc_id, count(*)::BIGINT AS n_lines, count(gone.line)::BIGINT AS n_deleted,
        sha256(coalesce(string_agg(e.s, chr(10) ORDER BY e.line) FILTER (WHERE gone.line IS NULL), '')) AS kept_sha256
 FROM e LEFT JOIN gone ON e.doc_id = gone.doc_id AND e.line = gone.line GROUP BY e.doc_id
