@@ -331,6 +331,55 @@ def test_trees_and_isotonic():
     assert gbt.fit_isotonic(np.array([0.1]), np.array([1.0]))(np.array([0.2])).tolist() == [0.2]
 
 
+def test_trees_walk_like_a_scalar_walk():
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((300, 4)).round(1), rng.integers(0, 2, 300).astype(float)
+    model = gbt.fit(x, y, trees=7, depth=3)
+
+    def walk(row):
+        total = model.base
+        for f, t, v in zip(model.feature, model.threshold, model.value, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            total += v[node - len(f)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(model.predict(x), [walk(r) for r in x])
+
+
+def test_convolution_like_a_scalar_one():
+    rng = np.random.default_rng(4)
+    tables = {w: rng.normal(size=(w, 256, language.FILTERS)).astype(np.float32) for w in language.WIDTHS}
+    out, bias = rng.normal(size=(language.FILTERS * len(tables), 3)), rng.normal(size=3)
+    x = language.windows(bytes(rng.integers(0, 256, 600).astype(np.uint8)))
+    got = language.Network(["a", "b", "c"], tables, out, bias).compile().probabilities(x)
+    for row, p in zip(x, got, strict=True):
+        pooled = []
+        for w, t in tables.items():
+            for k in range(language.FILTERS):
+                pooled.append(max(0.0, max(sum(float(t[j, row[i + j], k]) for j in range(w)) for i in range(len(row) - w + 1))))
+        e = np.exp(np.array(pooled) @ out + bias - max(np.array(pooled) @ out + bias))
+        assert np.allclose(p, e / e.sum(), atol=1e-4)
+
+
+def test_windows_are_stitched_or_left_to_the_heap():
+    rank = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abab": 257}
+    size = np.array([1] * 256 + [2, 4])
+    word = b"ab" * 1500
+    cut = [np.array(bpe.long_word(w, rank)) for w in bpe.windows(word)]
+    assert bpe.stitched(cut, size).tolist() == bpe.long_word(word, rank)
+    assert bpe.stitched([np.array([257] * 270), np.array([97] + [257] * 200)], size) is None  # never at one place
+
+
+def test_long_texts_in_lines_and_mixing(spark):
+    long = "\n".join(f"line {i}" for i in range(30_000))
+    got = {r.doc_id: r.n_deleted for r in line_dedup.dedup_lines(docs_of(spark, [long, "x", long + "\nnew"])).collect()}
+    assert got == {0: 0, 1: 0, 2: 30_000}
+    sizes = {r.doc_id: r.size for r in mixing.mix(docs_of(spark, ["w " * 300_000, "w"])).collect()}
+    assert sizes == {0: 300_000, 1: 1}
+
+
 def labelled(spark, n=400):
     rng = random.Random(1)
     docs, labels = [], []

@@ -4,8 +4,7 @@ Features of a whole text: densities of two lexicons (a stated one, and one of wo
 beginnings that mark toxic documents in a labelled sample), hits near second-person words, hits that
 appear only after undoing character substitutions, and shares of capitals, punctuation and
 other byte classes. The trees are fitted on the sample, the isotonic map from scores to
-probabilities on scores that each quarter of it gets from a lexicon and trees learned on the
-other three. The kinds of features were chosen by looking at errors on held-out test documents.
+probabilities on scores that each part of it gets from a lexicon and trees learned on the others. The kinds of features were chosen by looking at errors on held-out test documents.
 
 Defined cases: null or empty texts have all features 0 and get the model's score for
 those. Without labels every score is 0.5. Other columns are ignored.
@@ -24,7 +23,7 @@ from tidemark.llm.common import materialize
 from tidemark.llm.scoring import TRAIN_ROWS, apply, label_sample, labelled_texts, training_set, usable_labels
 
 MODULUS, HELD, THRESHOLD = 4, 2, 0.3
-LEXICON_DOCS, LEXICON_TOKENS, FOLDS = 4_000, 64, 4
+LEXICON_DOCS, LEXICON_TOKENS, FOLDS = 4_000, 64, 8
 
 #: Insults, in natural order.
 LEXICON = (
@@ -104,7 +103,7 @@ def learn_lexicon(
         docs.select(F.col(id_col).alias("doc_id"), lowered.alias("t"))
         .join(sample, "doc_id")
         .groupBy(F.xxhash64("t").alias("k"))
-        .agg(F.max("y").alias("y"), F.min("t").alias("t"), F.min(fold_of(F.col("doc_id"))).alias("fold")),
+        .agg(F.max("y").alias("y"), F.min("t").alias("t"), F.min(fold_of(F.col("t"))).alias("fold")),
         "lexicon-sample",
     )
     # Counts within folds: those without a fold are all less its own.
@@ -136,9 +135,9 @@ def learn_lexicon(
     return lists
 
 
-def fold_of(doc_id: Column) -> Column:
-    """The fold of a document: a hash of its id, so repeated rows share one."""
-    return F.pmod(F.xxhash64(F.lit("fold"), doc_id), F.lit(FOLDS)).cast("int")
+def fold_of(text: Column) -> Column:
+    """The fold of a text: a hash of its lower case, so equal texts share one."""
+    return F.pmod(F.xxhash64(F.lower(F.coalesce(text.cast("string"), F.lit("")))), F.lit(FOLDS)).cast("int")
 
 
 def score_toxicity(
@@ -155,15 +154,13 @@ def score_toxicity(
     and as many other documents the lexicon.
     """
     *without, lexicon = (Extractor(x) for x in learn_lexicon(docs, labels, id_col, text_col, lexicon_docs))
-    sample = label_sample(labels, "toxic", MODULUS, HELD, train_rows).withColumn("fold", fold_of(F.col("doc_id")))
-    texts = labelled_texts(docs, sample, id_col, text_col)
-    model = gbt.fit(*training_set(texts, lexicon))
-    unseen, truth = [np.zeros(0)], [np.zeros(0)]
-    for k, of in enumerate(without):  # neither lexicon nor trees have seen the fold they score
-        x, y = training_set(texts.withColumn("y", F.col("y") + 2 * (F.col("fold") == k).cast("int")), of)
-        own = y >= 2
-        if own.any() and not own.all():
-            unseen.append(gbt.fit(x[~own], y[~own]).predict(x[own]))
-            truth.append(y[own] - 2)
-    calibrate = gbt.fit_isotonic(np.concatenate(unseen), np.concatenate(truth))
+    texts = labelled_texts(docs, label_sample(labels, "toxic", MODULUS, HELD, train_rows), id_col, text_col)
+    # A text's features come from the lexicon learned without its fold, so the trees meet hits as
+    # rare as on new texts; for the map they are fitted again without it.
+    folds = [training_set(texts.filter(fold_of(F.col("text")) == k), of) for k, of in enumerate(without)]
+    some = [(x, y) for x, y in folds if len(y)]
+    fit = lambda parts: gbt.fit(np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])) if parts else gbt.fit(np.zeros((0, 0)), np.zeros(0))
+    model = fit(some)
+    unseen = [fit([p for j, p in enumerate(some) if j != k]).predict(x) for k, (x, _) in enumerate(some)] if len(some) > 1 else []
+    calibrate = gbt.fit_isotonic(np.concatenate([np.zeros(0), *unseen]), np.concatenate([np.zeros(0), *[y for _, y in some if unseen]]))
     return apply(docs, lexicon, lambda f: calibrate(model.predict(f)), MODULUS, HELD, THRESHOLD, id_col, text_col)
