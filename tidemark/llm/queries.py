@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact_dedup, language, line_dedup, mixing, near_dedup, quality, toxicity, warc
+from tidemark.llm import ann, bpe, exact_dedup, language, line_dedup, mixing, near_dedup, quality, token_files, toxicity, warc
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -72,6 +72,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.folder_for(spark)
+    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, folder)
+    return token_files.read_documents(spark, folder).select(
+        "doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_ann, op3_toxicity, op4_quality, op5_exact_dedup, op6_bpe, op7_near_dedup, op8_mixing,
-        op9_language, op10_warc, pipeline,
+        op9_language, op10_warc, op13_token_ids, pipeline,
     )
 }
 
