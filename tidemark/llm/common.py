@@ -67,15 +67,16 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return lean
 
 
-def in_batches(df: DataFrame, run, schema, rows: int = 1_000) -> DataFrame:
-    """df.mapInArrow(run, schema) in batches of at most ``rows`` rows, with ``run`` released.
+def in_batches(df: DataFrame, run, schema, rows: int = 1_000, size: int = 16_000_000) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of at most ``rows`` rows and about ``size`` bytes, with ``run`` released.
 
-    Rows hold whole texts, so Spark's 10,000 of them may not fit a worker. The session's setting
-    is lowered for good: Spark reads it when the plan runs.
+    Rows hold whole texts, so Spark's 10,000 of them may not fit a worker, and a thousand long ones
+    don't either. The session's settings are lowered for good: Spark reads them when the plan runs.
     """
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.max{}PerBatch"
+    for key, most in ((name.format("Records"), rows), (name.format("Bytes"), size)):
+        if not 0 < int(conf.get(key).rstrip("bB")) <= most:
+            conf.set(key, str(most))
     return df.mapInArrow(released(run), schema)
 
 

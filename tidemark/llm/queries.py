@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact_dedup, language, line_dedup, mixing, near_dedup, quality, token_files, toxicity, warc
+from tidemark.llm import ann, bpe, exact_dedup, language, line_dedup, mixing, near_dedup, quality, token_files, toxicity, vector_codes, warc
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -72,6 +72,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_errors(codes).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256")
+    )
+
+
 def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.folder_for(spark)
     token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, folder)
@@ -90,11 +97,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_ann, op3_toxicity, op4_quality, op5_exact_dedup, op6_bpe, op7_near_dedup, op8_mixing,
-        op9_language, op10_warc, op13_token_ids, pipeline,
+        op9_language, op10_warc, op12_vector_codes, op13_token_ids, pipeline,
     )
 }
 
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """All rounds one after the other; each compares every part with every entry."""
+    steps = [f"""e AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id, embedding) AS r FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+x AS (SELECT r, unnest(range(len(embedding))) AS j, len(embedding) // {parts} AS w, floor(1024 * unnest(embedding)::DOUBLE)::BIGINT AS v FROM e),
+c AS (SELECT r, j // w AS part, j % w AS i, v FROM x),
+b0 AS (SELECT part, r - 1 AS entry, i, v FROM c WHERE r <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, part, min(d * {entries} + entry) % {entries} AS entry, min(d * {entries} + entry) // {entries} AS d
+ FROM (SELECT r, part, entry, sum((c.v - b{k}.v) * (c.v - b{k}.v))::BIGINT AS d FROM c JOIN b{k} USING (part, i) GROUP BY r, part, entry) GROUP BY r, part)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT part, entry, i, sum(v)::BIGINT AS s, count(*) AS n FROM a{k} JOIN c USING (r, part) GROUP BY part, entry, i),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, i, coalesce((s - ((s % n) + n) % n) // n, v)::BIGINT AS v FROM b{k} LEFT JOIN s{k} USING (part, entry, i))""")
+    return f"""WITH {", ".join(steps)},
+f AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+ (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, i)) FROM b{rounds}) AS codebooks_sha256 FROM e JOIN f USING (r)"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_vector_codes": _codes_sql(),
     "op1_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 e AS (SELECT doc_id, unnest(lines) AS s, unnest(range(len(lines))) AS line FROM d),
