@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact_dedup, language, line_dedup, mixing, near_dedup, quality, token_files, toxicity, vector_codes, warc
+from tidemark.llm import alignment, ann, bpe, exact_dedup, language, line_dedup, mixing, near_dedup, quality, token_files, toxicity, vector_codes, warc
 from tidemark.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -72,6 +72,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.align(table(spark, sf_dir, "documents"), a, b, text=False)
+    return found.withColumn("groups_sha256", F.lower(F.hex("groups"))).drop("groups")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return vector_codes.with_label_errors(codes).select(
@@ -97,7 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_ann, op3_toxicity, op4_quality, op5_exact_dedup, op6_bpe, op7_near_dedup, op8_mixing,
-        op9_language, op10_warc, op12_vector_codes, op13_token_ids, pipeline,
+        op9_language, op10_warc, op11_alignment, op12_vector_codes, op13_token_ids, pipeline,
     )
 }
 
