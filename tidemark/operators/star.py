@@ -1,8 +1,9 @@
 """Star schema: unique dimension keys, deterministic surrogate ids, the staging join.
 
 A dimension has one row for each key, so the staging join never multiplies events. time_id is
-the event time in unix microseconds; event_id a hash of the fact's columns and the ordinal among
-equal rows, so a repeated load finds the same ids.
+the event time in unix microseconds. event_id is dense: a load numbers the rows that FACT doesn't hold
+yet from the highest id on, so ids are unique whatever the keys are, and stay when a week is loaded
+again. FACT itself is the map from keys to ids.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.rank import dense_ids
 from tidemark.schema import TIME_COLUMNS
 
 FACT_KEY = ["time_id", "category_id", "product_id", "user_id", "user_session", "event_type"]
@@ -38,10 +40,10 @@ def combinations(clean: DataFrame) -> DataFrame:
 
 def category_dim(clean: DataFrame) -> DataFrame:
     """One row for each category_id: its most frequent code, on a tie the smallest."""
-    return _category_dim(clean.groupBy("category_id", *CODES).agg(F.count("*").alias("rows")))
+    return category_of(clean.groupBy("category_id", *CODES).agg(F.count("*").alias("rows")))
 
 
-def _category_dim(combos: DataFrame) -> DataFrame:
+def category_of(combos: DataFrame) -> DataFrame:
     cols = CODES
     counts = combos.groupBy("category_id", *cols).agg(F.sum("rows").alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("rank"), *cols))
@@ -51,10 +53,10 @@ def _category_dim(combos: DataFrame) -> DataFrame:
 def product_dim(clean: DataFrame) -> DataFrame:
     """product_id with its mode brand and mode price, picked independently: the most frequent,
     then latest, then smallest (null first)."""
-    return _product_dim(clean.groupBy("product_id", "brand", "price").agg(F.count("*").alias("rows"), F.max(time_id()).alias("newest")))
+    return product_of(clean.groupBy("product_id", "brand", "price").agg(F.count("*").alias("rows"), F.max(time_id()).alias("newest")))
 
 
-def _product_dim(combos: DataFrame) -> DataFrame:
+def product_of(combos: DataFrame) -> DataFrame:
     """From counts by brand and price: windows over these few rows, one aggregate for both values."""
 
     def mode(value: str) -> Column:
@@ -66,10 +68,30 @@ def _product_dim(combos: DataFrame) -> DataFrame:
     return best.select("product_id", F.col("brand.v").alias("brand"), F.col("price.v").alias("price"))
 
 
+def fact_rows(clean: DataFrame) -> DataFrame:
+    """The fact's columns but its id."""
+    return clean.select(time_id().alias("time_id"), *FACT_KEY[1:])
+
+
+def with_event_ids(rows: DataFrame, after: int = 0) -> DataFrame:
+    """FACT rows with ids after+1, after+2, ... in the order of their columns (nulls first)."""
+    return dense_ids(rows.select(*FACT_KEY), FACT_KEY, "event_id", after).select("event_id", *FACT_KEY)
+
+
 def fact(clean: DataFrame) -> DataFrame:
-    rows = clean.select(time_id().alias("time_id"), *FACT_KEY[1:])
-    nth = F.row_number().over(Window.partitionBy(*FACT_KEY).orderBy(F.lit(1)))
-    return rows.withColumn("event_id", F.xxhash64(*FACT_KEY, nth)).select("event_id", *FACT_KEY)
+    return with_event_ids(fact_rows(clean))
+
+
+def new_facts(old: DataFrame, clean: DataFrame) -> DataFrame:
+    """The rows that clean has more often than FACT, as often as it has them more.
+
+    Rows are compared by all their columns, null equal to null, so no event is taken for another. Both
+    sides are counted in one aggregation, whose partial sums bring rows that recur by the million to a
+    row for each task.
+    """
+    each = lambda df, sign: df.select(*FACT_KEY, F.lit(sign).alias("n"))
+    more = each(fact_rows(clean), 1).unionAll(each(old, -1)).groupBy(*FACT_KEY).agg(F.sum("n").alias("n")).filter("n > 0")
+    return more.select(*FACT_KEY, F.explode(F.sequence(F.lit(1), F.col("n")))).select(*FACT_KEY)
 
 
 def staging(fact_: DataFrame, category: DataFrame, product: DataFrame, time: DataFrame) -> DataFrame:
@@ -82,4 +104,4 @@ def staged(clean: DataFrame) -> DataFrame:
     so only the category and product lookups remain as joins."""
     base = clean.select("user_id", "user_session", "category_id", "product_id", "event_type", *TIME_COLUMNS)
     combos = combinations(clean)
-    return base.join(_category_dim(combos), "category_id", "left").join(_product_dim(combos), "product_id", "left")
+    return base.join(category_of(combos), "category_id", "left").join(product_of(combos), "product_id", "left")

@@ -243,7 +243,7 @@ add("category_dim", lambda s, d: star.category_dim(cleaned(s, d)), f"WITH {_STAR
 add("product_dim", lambda s, d: star.product_dim(cleaned(s, d)), f"WITH {_STAR} SELECT * FROM product_dim")
 add("user_dim", lambda s, d: star.user_dim(fx_events(s, d)), f"WITH {_FX} SELECT DISTINCT user_id, user_session FROM fx")
 add(
-    "fact", lambda s, d: star.fact(fx_events(s, d)).drop("event_id", "time_id"),
+    "fact", lambda s, d: star.fact_rows(fx_events(s, d)).drop("time_id"),
     f"WITH {_FX} SELECT category_id, product_id, user_id, user_session, event_type FROM fx",
 )
 add("brand_price_stats", lambda s, d: M.brand_price_stats(star.product_dim(cleaned(s, d))), f"""WITH {_STAR} SELECT brand, count(DISTINCT product_id) AS products,
@@ -328,9 +328,9 @@ add(
 def _merge_fact(s: SparkSession, d: str) -> DataFrame:
     """The last week loaded twice: the second load adds nothing."""
     ev = fx_events(s, d)
-    old, new = star.fact(_before(ev)), star.fact(_after(ev))
-    once = upsert.insert_only(old, new, ["event_id"])
-    return upsert.insert_only(once, new, ["event_id"]).drop("event_id", "time_id")
+    old, new = star.fact_rows(_before(ev)), _after(ev)
+    once = old.unionByName(star.new_facts(old, new))
+    return once.unionByName(star.new_facts(once, new)).drop("time_id")
 
 
 add("merge_fact", _merge_fact, ORACLE["fact"])
@@ -375,7 +375,7 @@ def on_merge(like: str, f: Callable[[DataFrame], DataFrame], keys: list[str], fr
     part = lambda cond: f"(WITH ev AS (SELECT * FROM all_ev WHERE {cond}){first}{body})"
     same = " AND ".join(f"n.{k} = t.{k}" for k in keys)
     add(
-        name, lambda s, d: upsert.update_insert(target(s, d), source(s, d), keys),
+        name, lambda s, d: (upsert.replace_groups if keys == ["month"] else upsert.update_insert)(target(s, d), source(s, d), keys),
         f"""{head}, all_ev AS (SELECT * FROM ev), t AS {part(f"event_time < TIMESTAMP '{window[0]}'")},
 n AS {part(f"event_time >= TIMESTAMP '{window[1]}' AND event_time < TIMESTAMP '{window[2]}'")}
 SELECT * FROM n UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM n WHERE {same})""",

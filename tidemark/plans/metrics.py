@@ -1,4 +1,4 @@
-"""Metrics over the staging table. Each is lazy: f(staging, ...) -> DataFrame.
+"""Metrics over the staging table. Each is lazy, but for the RFM scores, which write their users: f(staging, ...) -> DataFrame.
 
 Money adds prices as decimals rounded to cents, so sums don't depend on the order of rows.
 """
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
+from tidemark.operators.rank import ntile, positions
+from tidemark.session import written
 
 
 #: Least total of a value tier, and names of tiers and customer segments.
@@ -54,13 +56,28 @@ def stickiness(ev: DataFrame) -> DataFrame:
     return daily.join(mau(ev), "event_date").select("event_date", _ratio(F.col("mean"), F.col("mau")).alias("stickiness"))
 
 
+def grains(ev: DataFrame, week: Column) -> DataFrame:
+    """grain (day, week, month), event_date and users, from one scan: events shrink to (day, user), and
+    each of these to its day, week and month."""
+    days = ev.select(D.day("event_time").alias("day"), "user_id", week.alias("week")).distinct()
+    bins = F.array(*[F.struct(F.lit(g).alias("grain"), c.alias("event_date")) for g, c in (("day", F.col("day")), ("week", F.col("week")), ("month", D.month("day")))])
+    pairs = days.select(F.explode(bins).alias("b"), "user_id").select("b.*", "user_id").distinct()
+    return pairs.groupBy("grain", "event_date").agg(F.count("user_id").alias("users"))
+
+
+def _by_date(counts: DataFrame) -> DataFrame:
+    pick = lambda g, name: F.max(F.when(F.col("grain") == g, F.col("users"))).alias(name)
+    return counts.groupBy("event_date").agg(pick("day", "dau"), pick("week", "wau"), pick("month", "mau"))
+
+
 def active_users(ev: DataFrame, anchor: str = D.ANCHOR) -> DataFrame:
-    return dau(ev).join(wau(ev, anchor), "event_date", "left").join(mau(ev), "event_date", "left")
+    """Each day with users, and the week's and month's users on the day that begins it."""
+    return _by_date(grains(ev, D.bin_start("event_time", anchor))).filter("dau is not null")
 
 
 def active_users_full(ev: DataFrame) -> DataFrame:
-    """The same with full outer joins and calendar weeks."""
-    return dau(ev).join(wau_iso(ev), "event_date", "full").join(mau(ev), "event_date", "full")
+    """The same with calendar weeks, and with a row for each date that begins a week or month."""
+    return _by_date(grains(ev, D.week("event_time")))
 
 
 def stickiness_mau(ev: DataFrame) -> DataFrame:
@@ -97,7 +114,10 @@ def retention_weekly(ev: DataFrame, weeks: int | None = 4) -> DataFrame:
     if weeks is not None:
         steps = steps.filter(F.col("step").between(0, weeks))
     active = steps.groupBy(cohort.alias("cohort_month"), F.col("step").alias("week_number")).agg(F.count("*").alias("active_users"))
-    sizes = _first(ev).groupBy(cohort.alias("cohort_month")).agg(F.count("*").alias("cohort_size"))
+    return weekly_rate(active, _first(ev).groupBy(cohort.alias("cohort_month")).agg(F.count("*").alias("cohort_size")))
+
+
+def weekly_rate(active: DataFrame, sizes: DataFrame) -> DataFrame:
     pct = F.round(_ratio(F.col("active_users") * 100, F.col("cohort_size")), 2)
     return active.join(sizes, "cohort_month").withColumn("retention_rate_percentage", pct)
 
@@ -109,6 +129,10 @@ def retention_monthly(ev: DataFrame) -> DataFrame:
 
 def retention_monthly_rate(ev: DataFrame) -> DataFrame:
     by = retention_monthly(ev).groupBy(D.month("cohort_date").alias("cohort_month"), "month_diff").agg(F.sum("retained_users").alias("retained_users"))
+    return monthly_rate(by)
+
+
+def monthly_rate(by: DataFrame) -> DataFrame:
     base = F.max(F.when(F.col("month_diff") == 0, F.col("retained_users"))).over(Window.partitionBy("cohort_month"))
     return by.withColumn("base", base).filter("base is not null").select(
         "cohort_month",
@@ -119,29 +143,36 @@ def retention_monthly_rate(ev: DataFrame) -> DataFrame:
 
 
 # RFM
-def _quintile(n: Column, rank: Column) -> Column:
-    """ntile(5) of a row from its rank (1..n): the first n mod 5 tiles hold one row more."""
-    small, extra = F.floor(n / 5), n % 5
-    edge = extra * (small + 1)
-    return F.when(rank <= edge, F.floor((rank - 1) / (small + 1))).otherwise(extra + F.floor((rank - 1 - edge) / F.greatest(small, F.lit(1)))) + 1
+def buyers(ev: DataFrame) -> DataFrame:
+    """user_id, last purchase, frequency and monetary (in cents' decimals) of purchasing users."""
+    paid = F.sum(F.round("price", 2).cast("decimal(18,2)"))
+    return purchases(ev).groupBy("user_id").agg(F.max("event_time").alias("last"), F.count("*").alias("frequency"), paid.alias("monetary"))
 
 
 def rfm(ev: DataFrame) -> DataFrame:
     """Scores 1..5 of purchasing users. Ties go by user_id.
 
-    The base (one row for each purchaser) is read several times behind one reused shuffle.
+    Users with their purchases and the newest event of all come from one read and are written once,
+    then each key is ranked by one range shuffle of the users (see operators.rank).
     """
     bought = F.col("event_type") == "purchase"
     users = ev.groupBy("user_id").agg(
         F.max("event_time").alias("seen"), F.max(F.when(bought, F.col("event_time"))).alias("last"), F.count_if(bought).alias("frequency"),
-        money(F.when(bought, F.col("price"))).alias("monetary"),
+        F.sum(F.when(bought, F.round("price", 2).cast("decimal(18,2)"))).alias("monetary"),
     )
-    newest = users.agg(F.max("seen").alias("newest"))
-    base = users.crossJoin(F.broadcast(newest)).filter("last is not null").select(
-        "user_id", D.day_steps("last", "newest").alias("recency"), "frequency", "monetary"
-    )  # a user's purchases and the newest event of all, from one read
-    keys = {"recency": F.col("recency"), "frequency": -F.col("frequency"), "monetary": -F.col("monetary")}
-    scored = _scores(base, keys)
+    users = written(users, "users")
+    return rfm_of(users.filter("last is not null"), users.agg(F.max("seen").alias("newest")))
+
+
+def rfm_of(users: DataFrame, newest: DataFrame) -> DataFrame:
+    """The scores of a written table as ``buyers`` gives it; newest: one row, the time of the newest event."""
+    base = users.crossJoin(F.broadcast(newest)).select(
+        "user_id", D.day_steps("last", "newest").alias("recency"), "frequency", F.col("monetary").cast("double").alias("monetary")
+    )
+    scored, n = base, F.lit(users.count())
+    for name, key in {"recency": F.col("recency"), "frequency": -F.col("frequency"), "monetary": -F.col("monetary")}.items():
+        ranked = positions(scored.withColumn("__key", key), ["__key", "user_id"], "__position", settled=True)
+        scored = ranked.withColumn(f"{name}_score", (6 - ntile(F.col("__position"), n)).cast("long")).drop("__key", "__position")
     total = F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score")
     r, f, m = (F.col(f"{n}_score") for n in ("recency", "frequency", "monetary"))
     all_at = lambda k: (r >= k) & (f >= k) & (m >= k)
@@ -152,49 +183,12 @@ def rfm(ev: DataFrame) -> DataFrame:
     })
 
 
-def _scores(base: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """base with NAME_score = 6 - ntile(5) by ascending key, then user_id, for each key.
-
-    All keys are ranked in one long frame. Approximate percentiles cut it into parts: the rows
-    between two cuts, and those that equal a cut. The latter, which may be most of all users (say,
-    all who bought once), are cut again by user_id, which is all that orders them. A row's rank is
-    its place in its part plus the rows of earlier parts, exact wherever the cuts lie; so neither
-    all users nor all of one key meet in a task.
-    """
-    parts = min(1000, max(50, 4 * int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    steps = [i / parts for i in range(1, parts)]
-    pairs = F.array(*[F.struct(F.lit(n).alias("name"), k.cast("double").alias("k")) for n, k in keys.items()])
-    long = base.select("*", F.explode(pairs).alias("p")).select(*base.columns, "p.name", "p.k")
-    # The first six bytes behind what all ids share, as a number: ascending with the id.
-    ends = base.agg(F.min("user_id").alias("lo"), F.max("user_id").alias("hi"))
-    differs = F.filter(F.sequence(F.lit(1), F.length("lo") + 1), lambda i: F.substring("lo", F.lit(1), i) != F.substring("hi", F.lit(1), i))
-    shared = ends.select(F.coalesce(F.get(differs, F.lit(0)), F.length("lo") + 1, F.lit(1)).alias("from"))
-    digits = F.rpad(F.substring(F.hex(F.substring("user_id", F.col("from"), F.lit(6))), 1, 12), 12, "0")
-    coded = long.crossJoin(F.broadcast(shared)).withColumn("u", F.conv(digits, 16, 10).cast("double")).drop("from")
-    cuts = coded.groupBy("name").agg(
-        F.percentile_approx("k", steps, 20 * parts).alias("cuts"), F.percentile_approx("u", steps, 20 * parts).alias("ids")
-    )  # at most two lists of 1,000 numbers for each key
-    below = lambda cut, x: F.size(F.filter(cut, lambda c: c < F.col(x)))
-    tied = F.array_contains("cuts", F.col("k"))
-    placed = coded.join(F.broadcast(cuts), "name").withColumns(
-        {"part": 2 * below("cuts", "k") + tied.cast("int"), "sub": F.when(tied, below("ids", "u")).otherwise(0)}
-    ).drop("cuts", "ids", "u")
-    sizes = placed.groupBy("name", "part", "sub").agg(F.count("*").alias("size"))
-    by = Window.partitionBy("name")
-    ahead = by.orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "name", "part", "sub", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("before"), F.sum("size").over(by).alias("n")
-    )  # a row for each part; AQE broadcasts it if it is small
-    rank = F.row_number().over(Window.partitionBy("name", "part", "sub").orderBy("k", "user_id")) + F.col("before")
-    score = placed.join(offsets, ["name", "part", "sub"]).withColumn("rank", rank).withColumn(
-        "score", (6 - _quintile(F.col("n"), F.col("rank"))).cast("long")
-    )
-    each = [F.max(F.when(F.col("name") == n, F.col("score"))).alias(f"{n}_score") for n in keys]
-    return score.groupBy(*base.columns).agg(*each)
+def rfm_combined(ev: DataFrame) -> DataFrame:
+    return combined(rfm(ev))
 
 
-def rfm_combined(ev: DataFrame) -> DataFrame:
-    return rfm(ev).withColumn("combined_segment", F.concat("rfm_value_segment", F.lit(" - "), "customer_segment"))
+def combined(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("combined_segment", F.concat("rfm_value_segment", F.lit(" - "), "customer_segment"))
 
 
 # funnel and conversion
@@ -228,10 +222,14 @@ def conversion_funnel(ev: DataFrame) -> DataFrame:
 # revenue
 def purchased_order(ev: DataFrame) -> DataFrame:
     daily = purchases(ev).groupBy(D.day("event_time").alias("event_time_ymd")).agg(
-        F.sum(F.round("price", 2).cast("decimal(18,2)")).alias("d"), F.countDistinct("user_session").alias("session_purchase_count")
+        F.sum(F.round("price", 2).cast("decimal(18,2)")).alias("daily"), F.countDistinct("user_session").alias("session_purchase_count")
     )
-    total = F.sum("d").over(Window.partitionBy())  # over days
-    return daily.select("event_time_ymd", F.col("d").cast("double").alias("daily_price"), total.cast("double").alias("total_price"), "session_purchase_count")
+    return with_total(daily)
+
+
+def with_total(days: DataFrame) -> DataFrame:
+    total = F.sum("daily").over(Window.partitionBy())  # over days
+    return days.select("event_time_ymd", F.col("daily").cast("double").alias("daily_price"), total.cast("double").alias("total_price"), "session_purchase_count")
 
 
 def price_distribution(ev: DataFrame) -> DataFrame:
@@ -254,6 +252,10 @@ def category_lv2_top(ev: DataFrame, n: int = 10) -> DataFrame:
     sums = purchases(ev).filter(F.col("category_lv_2") != "unknown").groupBy(
         D.month("event_time").alias("month"), "category_lv_2", "brand"
     ).agg(money().alias("sum_price"))
+    return top_by_month(sums, n)
+
+
+def top_by_month(sums: DataFrame, n: int) -> DataFrame:
     order = Window.partitionBy("month").orderBy(F.desc("sum_price"), "category_lv_2", "brand")
     return sums.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n).drop("rn")
 

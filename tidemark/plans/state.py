@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.upsert import current, publish
 from tidemark.plans.weeks import run_window
@@ -20,7 +20,11 @@ class State:
         return {"run_state": row.run_state, "current_date": row.current_date} if row else {"run_state": "pending", "current_date": FIRST_CLOCK}
 
     def put(self, run_state: str, current_date: str) -> None:
-        publish(self.spark.createDataFrame([(run_state, current_date)], "run_state string, current_date string"), self.root, "state")
+        publish(self.frame(self.spark, run_state, current_date), self.root, "state")
+
+    @staticmethod
+    def frame(spark: SparkSession, run_state: str, current_date: str) -> DataFrame:
+        return spark.createDataFrame([(run_state, current_date)], "run_state string, current_date string")
 
     def reset(self) -> None:
         """Pending or forced runs begin at the first clock; others go on."""

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "tidemark", conf: dict[str, str] | None = None) -> SparkSession:
@@ -29,3 +29,10 @@ def shared_path(spark: SparkSession, tag: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"tidemark-{os.getpid()}")
     return f"{root.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage is cut, and lost executors cost nothing."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
