@@ -79,6 +79,12 @@ def replace_groups(target: DataFrame, source: DataFrame, keys: Sequence[str]) ->
     return kept.unionByName(source.select(*target.columns))
 
 
+def replace_row(target: DataFrame, source: DataFrame) -> DataFrame:
+    """MERGE on a condition that always holds, for tables of one row: the source's row, if it has one."""
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    return merge(one(target), one(source), ["__one"], update=True).drop("action", "__one")
+
+
 def unique(source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """source, or an error at run time if a key has several rows."""
     twice = source.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()

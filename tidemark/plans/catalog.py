@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import clean as C
 from tidemark.functions import dates as D
-from tidemark.operators import quality, star, upsert
+from tidemark.operators import bitmaps, quality, star, upsert
 from tidemark.plans import metrics as M
 from tidemark.plans import pipeline
 from tidemark.plans.weeks import week_frame
 from tidemark.schema import RAW, RAW_COLUMNS, STAR, reset_tables
-from tidemark.session import shared_path
+from tidemark.session import shared_path, written
 from tidemark.sources import events as E
 from tidemark.sources.fixtures import fx_events, fx_orders, table
 
@@ -474,3 +474,154 @@ add("impute_counting_nulls", lambda s, d: C.impute_counting_nulls(_weekly(s, d),
  m AS (SELECT week_start, product_id, brand AS mode FROM (SELECT *, row_number() OVER (PARTITION BY week_start, product_id ORDER BY n DESC, brand IS NULL, brand) AS rn FROM c) WHERE rn = 1)
  SELECT product_id, event_time, user_id, coalesce(brand, mode) AS brand FROM ev LEFT JOIN m USING (week_start, product_id)""")
 add("windowed_star_join", lambda s, d: _span(staged(s, d), "2024-01-08", "2024-01-15"), f"SELECT * FROM ({ORACLE['fact_star_join']}) WHERE event_time >= TIMESTAMP '2024-01-08' AND event_time < TIMESTAMP '2024-01-15'")
+
+# Loads, step by step ------------------------------------------------------------------------
+
+#: The middle weeks first, then the last, then the first, so that cohorts move.
+LOADS = ("event_time >= '2024-01-08' AND event_time < '2024-01-22'", "event_time >= '2024-01-22'", "event_time < '2024-01-08'")
+_roots: dict[tuple[str, str], str] = {}
+
+
+def loaded_root(s: SparkSession, d: str) -> str:
+    """The tables after three loads, made once in an application."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _roots:
+        root, clean = shared_path(s, "loads"), written(cleaned(s, d), "cleaned")
+        for part in LOADS:
+            pipeline.run_load(s, root, clean.filter(part), ANCHOR)
+        _roots[key] = root
+    return _roots[key]
+
+
+_NTH = " ".join(f"WHEN {p.replace(chr(39) + '2024', 'TIMESTAMP ' + chr(39) + '2024')} THEN {n}" for n, p in enumerate(LOADS))
+_MODES = """{0}_of AS (SELECT product_id, {0} FROM (SELECT product_id, {0}, row_number() OVER (PARTITION BY product_id
+ ORDER BY nth, count(*) DESC, max(event_time) DESC, {0} NULLS FIRST) AS rn FROM cl GROUP BY nth, product_id, {0}) WHERE rn = 1)"""
+_LEVELS = "category_code, category_lv_1, category_lv_2, category_lv_3"
+#: A key's dimension row is that of the first load that has it.
+_INC = f"""{_CLEAN.replace('ev AS', 'e0 AS', 1).replace('FROM ev)', 'FROM e0)', 1)}, cl AS (SELECT *, CASE {_NTH} END AS nth FROM clean), {_MODES.format('brand')}, {_MODES.format('price')},
+cats AS (SELECT category_id, {_LEVELS} FROM (SELECT category_id, {_LEVELS}, row_number() OVER (PARTITION BY category_id ORDER BY nth, count(*) DESC, category_code) AS rn
+ FROM cl GROUP BY nth, category_id, {_LEVELS}) WHERE rn = 1),
+ev AS (SELECT c.user_id, c.user_session, c.category_id, c.product_id, c.event_type, c.event_time, c.event_time_ymd, c.event_time_hms, c.event_time_month, c.event_time_day,
+ c.event_time_hour, c.event_time_day_name, d.category_code, d.category_lv_1, d.category_lv_2, d.category_lv_3, b.brand, p.price
+ FROM clean c LEFT JOIN cats d USING (category_id) LEFT JOIN brand_of b USING (product_id) LEFT JOIN price_of p USING (product_id))"""
+_ACTIVE = f"SELECT event_date, dau, wau, mau FROM ({_DAU}) LEFT JOIN ({_WAU}) USING (event_date) LEFT JOIN ({_MAU}) USING (event_date)"
+
+for _name, _sql in (
+    ("event_type_time_distribution", _ETTD), ("conversion_rate", _CONV), ("funnel", _FUNNEL), ("price_distribution", _PRICE),
+    ("monthly_price_event_type", _MPE), ("purchased_order", _ORDERED), ("count_visitors", _VISIT), ("dau", _DAU), ("wau", _WAU), ("mau", _MAU),
+    ("stickiness", _STICK), ("active_users", _ACTIVE), ("stickiness_mau", f"SELECT event_date, mau, stickiness FROM ({_MAU}) JOIN ({_STICK}) USING (event_date)"),
+    ("retention_daily", _RET_D), ("retention_monthly", _RET_M), ("retention_monthly_rate", _RET_R),
+    ("retention_weekly", f"SELECT * FROM ({_RET_W}) WHERE week_number BETWEEN 0 AND 4"), ("category_lv2_top", _LV2),
+    ("rfm_combined", f"SELECT *, rfm_value_segment || ' - ' || customer_segment AS combined_segment FROM ({_RFM})"),
+    ("latest_date", "SELECT max(event_time) AS latest_event_time FROM ev"),
+):
+    add(f"load_{_name}", lambda s, d, n=_name: pipeline.table(s, loaded_root(s, d), n), f"WITH {_INC}, {_FIRST} {_sql}")
+add("load_staging", lambda s, d: pipeline.staging(s, loaded_root(s, d)).drop("event_id", "time_id"), f"WITH {_INC} SELECT * FROM ev")
+add(
+    "load_staging_window", lambda s, d: pipeline.staging(s, loaded_root(s, d), "2024-01-10", "2024-01-17").drop("event_id", "time_id"),
+    f"WITH {_INC} SELECT * FROM ev WHERE event_time >= TIMESTAMP '2024-01-10' AND event_time < TIMESTAMP '2024-01-18'",
+)
+
+
+def holed(ev: DataFrame) -> DataFrame:
+    """Events of some types lose their session, user or product: keys with nulls."""
+    hole = lambda c, kind: F.when(F.col("event_type") != kind, F.col(c)).alias(c)
+    return ev.withColumns({"user_session": hole("user_session", "error"), "product_id": hole("product_id", "signup"), "user_id": hole("user_id", "error")})
+
+
+def _reloaded(name: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        """Events with nulls in their keys: up to the cut, then the rest, then the rest again."""
+        root, clean = shared_path(s, "star"), written(C.clean_events(holed(fx_events(s, d)), ANCHOR), "cleaned")
+        for part in (_before(clean), _after(clean), _after(clean)):
+            pipeline.load(s, root, part)
+        return upsert.current(s, root, name)
+
+    return run
+
+
+_HOLED = f"""{_FX}, h AS (SELECT * REPLACE (CASE WHEN event_type <> 'error' THEN user_session END AS user_session, CASE WHEN event_type <> 'signup' THEN product_id END AS product_id,
+ CASE WHEN event_type <> 'error' THEN user_id END AS user_id), event_time >= TIMESTAMP '{CUT}' AS late, CAST(epoch_us(event_time) AS BIGINT) AS time_id FROM fx)"""
+_KEYS = ("time_id", "category_id", "product_id", "user_id", "user_session", "event_type")
+add(
+    "reload_fact_ids", _reloaded("fact"),
+    f"WITH {_HOLED} SELECT row_number() OVER (ORDER BY late, {', '.join(f'{k} NULLS FIRST' for k in _KEYS)}) AS event_id, {', '.join(_KEYS)} FROM h",
+)
+add("reload_user_dim", _reloaded("user_dim"), f"WITH {_HOLED} SELECT DISTINCT user_id, user_session FROM h")
+add("reload_time_dim", lambda s, d: _reloaded("time_dim")(s, d).select("time_id", "event_time"), f"WITH {_HOLED} SELECT DISTINCT time_id, event_time FROM h")
+
+# MERGE with actions: target and source are feeds of overlapping windows or key ranges --------
+
+
+def on_feeds(name: str, f: Callable[[DataFrame], DataFrame], keys: list[str], frame: Query, old: str, new: str, body: str, head: str) -> None:
+    """Dimension of the feed ``old`` merged with that of the feed ``new``; every action that applies occurs."""
+    add(
+        f"merge_actions_{name}",
+        lambda s, d: upsert.merge(f(frame(s, d).filter(old)), f(frame(s, d).filter(new)), keys, update=False, several=name == "user_dim_by_user"),
+        f"""WITH {head}, o AS ({body.format(old)}), n AS ({body.format(new)})
+SELECT *, 'kept' AS action FROM o UNION ALL SELECT *, 'inserted' AS action FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE {' AND '.join(f'o.{k} = n.{k}' for k in keys)})""",
+    )
+
+
+_EARLY, _LATE = f"event_time < TIMESTAMP '{DAYS[0]}'", f"event_time >= TIMESTAMP '{DAYS[1]}' AND event_time < TIMESTAMP '{DAYS[2]}'"
+FEEDS = {
+    "time_dim": (star.time_dim, ["time_id"], timed, _EARLY, _LATE),
+    "user_dim": (star.user_dim, ["user_id", "user_session"], timed, _EARLY, _LATE),
+    "user_dim_by_user": (star.user_dim, ["user_id"], timed, f"user_id < '6' AND {_EARLY}", "user_id > '3'"),
+    "category_dim": (star.category_dim, ["category_id"], cleaned, f"category_id < 'N' AND {_EARLY}", "category_id > 'F'"),
+    "product_dim": (star.product_dim, ["product_id"], cleaned, f"product_id < '7' AND {_EARLY}", "product_id > '3'"),
+}
+_TIMES = "SELECT DISTINCT CAST(epoch_us(event_time) AS BIGINT) AS time_id, event_time, event_time_ymd, event_time_hms, event_time_month, event_time_day, event_time_hour, event_time_day_name FROM ev WHERE {}"
+_BODY = {
+    "time_dim": (_TIMES, _EV), "user_dim": ("SELECT DISTINCT user_id, user_session FROM ev WHERE {}", _EV),
+    "user_dim_by_user": ("SELECT DISTINCT user_id, user_session FROM ev WHERE {}", _EV),
+    "category_dim": (_CAT.replace("{0}", "(SELECT * FROM clean WHERE {0})"), _CLEAN), "product_dim": (_PRODUCT.replace("{0}", "(SELECT * FROM clean WHERE {0})"), _CLEAN),
+}
+for _name, (_f, _keys, _frame, _old, _new) in FEEDS.items():
+    on_feeds(_name, _f, _keys, _frame, _old, _new, *_BODY[_name])
+
+add(
+    "merge_actions_dau", lambda s, d: upsert.merge(M.dau(timed(s, d).filter(_EARLY)), M.dau(timed(s, d).filter(_LATE)), ["event_date"], update=True),
+    f"""WITH {_EV}, o AS ({_DAU.replace('FROM ev', f'FROM ev WHERE {_EARLY}')}), n AS ({_DAU.replace('FROM ev', f'FROM ev WHERE {_LATE}')})
+SELECT n.*, CASE WHEN event_date IN (SELECT event_date FROM o) THEN 'updated' ELSE 'inserted' END AS action FROM n UNION ALL SELECT *, 'kept' FROM o WHERE event_date NOT IN (SELECT event_date FROM n)""",
+)
+add(
+    "merge_latest_on_true", lambda s, d: upsert.replace_row(M.latest_date(_before(timed(s, d))), M.latest_date(_span(timed(s, d), *DAYS[1:]))),
+    f"WITH {_EV} SELECT max(event_time) AS latest_event_time FROM ev WHERE {_LATE}",
+)
+
+# Distinct counts from daily bitmaps ----------------------------------------------------------
+
+
+def _daily_bits(s: SparkSession, d: str) -> DataFrame:
+    """Bitmaps by day over a map of users that grew in two steps."""
+    ev = written(timed(s, d).select("user_id", D.day("event_time").alias("day")).distinct(), "user-days")
+    first = written(bitmaps.id_map(ev.filter(f"day < '{CUT}'"), "user_id"), "ids")
+    return bitmaps.daily(ev, bitmaps.id_map(ev, "user_id", first), "user_id", "day")
+
+
+for _name, _by, _value, _sql in (
+    ("dau", F.to_date, "dau", _DAU), ("wau", D.bin_start, "wau", _WAU), ("wau_iso", D.week, "wau", _WAU_ISO), ("mau", D.month, "mau", _MAU),
+):
+    add(
+        f"bitmap_{_name}", lambda s, d, by=_by, v=_value: bitmaps.counts(bitmaps.rolled(_daily_bits(s, d), by("day"), "event_date"), "event_date", v),
+        f"WITH {_EV} {_sql}",
+    )
+
+# Copies and checks that can fail ---------------------------------------------------------------
+
+
+def _new_weeks(s: SparkSession, d: str) -> DataFrame:
+    """A raw table with one week; two more are copied in, one of them twice."""
+    source, target = shared_path(s, "source"), shared_path(s, "raw")
+    cleaned(s, d).write.parquet(source)
+    for week in ("2024-01-01", "2024-01-08", "2024-01-15", "2024-01-08"):
+        E.copy_into(s, source, target, week)
+    return E.read_weeks(s, target).select(*RAW_COLUMNS)
+
+
+add("copy_into_new_weeks", _new_weeks, f"SELECT * FROM ({_RAW_SQL}) WHERE event_time < TIMESTAMP '2024-01-22'")
+add(
+    "orphan_documents", lambda s, d: quality.orphans(table(s, d, "documents").select("doc_id", "source"), table(s, d, "labels"), "doc_id"),
+    "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+)

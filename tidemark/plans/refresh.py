@@ -27,10 +27,11 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
@@ -190,10 +191,9 @@ def take(store: Store, added: DataFrame) -> Delta:
     )).alias("s")).select("s.*").filter("cohort_month is not null")
     moved["cohorts"] = sizes.groupBy("cohort_month").agg(F.sum("sign").cast("long").alias("users")).filter("users <> 0")
     moved = {n: written(df, n) for n, df in moved.items()}
+    moved |= {"user_days": new_days.select("user_id", "day", "month"), "first_seen": users.select("user_id", F.col("now").alias("first_time"))}
     for name, df in moved.items():
         store.add(name, df)
-    store.add("user_days", new_days.select("user_id", "day", "month"))
-    store.add("first_seen", users.select("user_id", F.col("now").alias("first_time")))
     cohort_days = moved["ret_day"].select("cohort_date").union(moved["ret_month"].select("cohort_date")).distinct()
     cohort_months = moved["ret_week"].select("cohort_month").union(moved["cohorts"].select("cohort_month")).distinct()
     return Delta(added, days, months, bins, around, written(cohort_days, "cohort-days"), written(cohort_months, "cohort-months"))
@@ -352,6 +352,9 @@ RESULTS: dict[str, tuple[Result, list[str]]] = {
     "retention_weekly": (retention_weekly, ["cohort_month"]),
     "category_lv2_top": (category_lv2_top, ["month"]),
 }
+#: Results that read results of earlier waves.
+LATER = (("stickiness", "active_users"), ("stickiness_mau",))
+SIDE_BY_SIDE = 4
 #: Published as a whole.
 WHOLE = ("rfm_combined", "latest_date")
 
@@ -367,28 +370,48 @@ def _gone(name: str, d: Delta) -> DataFrame | None:
     return None
 
 
-def refresh(store: Store, added: DataFrame) -> dict[str, int]:
-    """Bring state and results up to a load's added staging rows; result rows written, by table."""
-    d = take(store, added)
-    wrote: dict[str, int] = {}
-    if d.days:
-        for name, (f, unit) in RESULTS.items():
-            rows, touched = f(store, d).withColumn("__gone", F.lit(False)), _gone(name, d)
-            if touched is not None:
-                empty = touched.join(rows.select(*unit), unit, "left_anti").withColumn("__gone", F.lit(True))
-                rows = rows.unionByName(empty, allowMissingColumns=True)
-            path = store.load.replace(rows, name, unit)
-            wrote[name] = store.spark.read.parquet(path).count()
-            found = paths(store.spark, store.root, name, store.load)
-            if len(found) > MAX_PARTS:
-                store.load.publish(newest(store.spark.read.parquet(*found)), name)
+def _publish(store: Store, d: Delta, name: str) -> int:
+    """Write a result's touched units; how many rows that were."""
+    f, unit = RESULTS[name]
+    rows, touched = f(store, d).withColumn("__gone", F.lit(False)), _gone(name, d)
+    if touched is not None:
+        empty = touched.join(rows.select(*unit), unit, "left_anti").withColumn("__gone", F.lit(True))
+        rows = rows.unionByName(empty, allowMissingColumns=True)
+    seen = Observation(name)
+    store.load.replace(rows.observe(seen, F.count(F.lit(1)).alias("rows")), name, unit)
+    found = paths(store.spark, store.root, name, store.load)
+    if len(found) > MAX_PARTS:
+        store.load.publish(newest(store.spark.read.parquet(*found)), name)
+    return seen.get["rows"]
+
+
+def _publish_whole(store: Store) -> dict[str, int]:
     buyers = written(store.state("buyers"), "buyers")
     scored = M.rfm_of(buyers, store.state("newest").select(F.col("latest_event_time").alias("newest")))
+    wrote = {}
     for name, df in (("rfm_combined", M.combined(scored)), ("latest_date", store.state("newest"))):
-        wrote[name] = store.spark.read.parquet(store.load.publish(df, name)).count()
+        seen = Observation(name)
+        store.load.publish(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+        wrote[name] = seen.get["rows"]
     return wrote
 
 
+def refresh(store: Store, added: DataFrame) -> dict[str, int]:
+    """Bring state and results up to a load's added staging rows; result rows written, by table.
+
+    Results are small jobs that don't depend on each other, but for those in LATER, so they run side
+    by side.
+    """
+    d = take(store, added)
+    wrote: dict[str, int] = {}
+    waves = [[n for n in RESULTS if n not in sum(LATER, ())], *LATER] if d.days else []
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        whole = pool.submit(_publish_whole, store)
+        for wave in waves:
+            wrote |= dict(zip(wave, pool.map(lambda n: _publish(store, d, n), wave), strict=True))
+        return wrote | whole.result()
+
+
 def read(store: Store, name: str) -> DataFrame | None:
     """A result table as it stands."""
     df = current(store.spark, store.root, name, store.load)
