@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import packed, split_spaces, unpacked, whole_texts
-from tidemark.llm.common import in_batches, materialize
+from tidemark.llm.common import BATCH_BYTES, in_batches, materialize
 
 EPOCH_BYTES, CHUNK_BYTES, ENCODE_PARTS = 16_000_000, 2_000_000, 8_192
 SPACE_MARK = "▁"
@@ -305,9 +305,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, links: str = "ends", text:
     ddl = SCHEMA.format(kind="string" if text else "binary")
     arrow = lambda d: to_arrow_schema(T.StructType.fromDDL(d))
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(in_batches(small, _epochs(path_a, path_b, links, text, epoch_bytes, arrow(ddl)), ddl), "aligned-epochs")
+    rows = materialize(in_batches(small, _epochs(path_a, path_b, links, text, epoch_bytes, arrow(ddl)), ddl, size=BATCH_BYTES), "aligned-epochs")
     held = rows.filter("pairs is not null").select("epoch", "pairs", "counts")
-    pairs = in_batches(held, _exploded, "epoch long, place int, pair long, n long")
+    pairs = in_batches(held, _exploded, "epoch long, place int, pair long, n long", size=BATCH_BYTES)
     total = materialize(pairs.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
     second = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("b")
     most = total.groupBy(second).agg(F.max("n").alias("most"))  # B's vocabulary bounds these rows

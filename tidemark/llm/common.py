@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that separate words.
+#: Bytes of an Arrow batch where rows may be long.
+BATCH_BYTES = 16_000_000
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,15 +69,15 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return lean
 
 
-def in_batches(df: DataFrame, run, schema, rows: int = 1_000, size: int = 16_000_000) -> DataFrame:
-    """df.mapInArrow(run, schema) in batches of at most ``rows`` rows and about ``size`` bytes, with ``run`` released.
+def in_batches(df: DataFrame, run, schema, rows: int = 1_000, size: int | None = None) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of at most ``rows`` rows and, if given, about ``size`` bytes, with ``run`` released.
 
     Rows hold whole texts, so Spark's 10,000 of them may not fit a worker, and a thousand long ones
     don't either. The session's settings are lowered for good: Spark reads them when the plan runs.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.max{}PerBatch"
     for key, most in ((name.format("Records"), rows), (name.format("Bytes"), size)):
-        if not 0 < int(conf.get(key).rstrip("bB")) <= most:
+        if most and not 0 < int(conf.get(key).rstrip("bB")) <= most:
             conf.set(key, str(most))
     return df.mapInArrow(released(run), schema)
 

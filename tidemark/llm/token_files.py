@@ -17,9 +17,10 @@ Numbers are little-endian. Reading decodes the blocks between two offsets on the
 table; ``read_documents`` streams whole files, a task each, and ``read_ids`` fetches a stretch of
 ids by its numbers and touches only the blocks that hold it.
 
-Tokenizers in WORDWISE drop white space and never look across it, so each distinct stretch between
-white space is encoded once in a while (up to CACHED_WORDS are remembered); all others get whole
-texts. Memory: texts come in bounded batches, ids leave in chunks, and a file's documents are
+Tokenizers in WORDWISE drop white space and never look across pieces of their pattern, so texts are
+cut at white space, and each distinct piece is encoded by the library once while it is remembered (a
+worker keeps about CACHED_WORDS); all others get whole texts. Memory: texts come in groups of
+GROUP_BYTES, ids leave in chunks, and a file's documents are
 bounded by IDS_PER_FILE ids (a longer document has a file to itself or shares one).
 
 Defined cases: a null text counts as empty: it has the end id only. A null doc_id comes first.
@@ -31,8 +32,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -42,94 +45,166 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import huffman
-from tidemark.llm.common import in_batches, materialize, n_shuffle, scratch
+from tidemark.llm.alignment import byte_alphabet
+from tidemark.llm.common import BATCH_BYTES, in_batches, materialize, n_shuffle, scratch
 
 MAGIC = b"tm-ids-1"
-IDS_PER_FILE, CHUNK_IDS, BATCH_BYTES = 1 << 25, 1 << 18, 4_000_000
+IDS_PER_FILE, CHUNK_IDS, GROUP_BYTES = 1 << 25, 1 << 18, 16_000_000
 CACHED_WORDS, CACHED_LENGTH = 300_000, 48
 #: Fixed value: the pre-tokenizing patterns without white space whose matches are all that is kept.
 WORDWISE = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 
 
 def _wordwise(path: str) -> bool:
+    """Whether a tokenizer lowers, keeps only the pieces of such a pattern, and merges their bytes."""
     with open(path, encoding="utf8") as f:
-        steps = (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-    first = steps[0]
-    kept = first.get("behavior") == "Removed" and first.get("invert") is True
-    return first.get("type") == "Split" and kept and first["pattern"].get("Regex") in WORDWISE
-
-
-def bounded(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most about ``size`` bytes of text each."""
+        spec = json.load(f)
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    first, last = steps[0], steps[-1]
+    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+    plain = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+    bytes_ = len(steps) == 2 and last.get("type") == "ByteLevel" and not last.get("add_prefix_space") and not last.get("use_regex")
+    return split and plain and bytes_ and spec["model"]["type"] == "BPE" and first["pattern"].get("Regex") in WORDWISE
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int = GROUP_BYTES) -> Iterator[pa.Table]:
+    """The same rows in tables of about ``size`` bytes of text, or of one longer text."""
+    held, total = [], 0
     for b in batches:
         ends = np.cumsum(pc.binary_length(b["text"]).fill_null(0).to_numpy(), dtype=np.int64)
         at = 0
         while at < len(b):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
-            yield b.slice(at, to - at)
-            at = to
-
-
-def _word_encoder(tokenizer):
-    """texts -> ids and their number for each text, every word encoded once while it is remembered."""
-    words: dict[bytes, int] = {}
-    flat, ends = [], [0]
-
-    def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if max(len(ends), len(flat) // 4) > CACHED_WORDS:
-            words.clear()
-            flat.clear()
-            ends[1:] = []
-        split = [t.encode().split() for t in texts]
-        new = [w for w in set(chain.from_iterable(split)) if w not in words]
-        for e, w in zip(tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), new, strict=True):
-            words[w] = len(ends) - 1
-            flat.extend(e.ids)
-            ends.append(len(flat))
-        at = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int64)
-        for w in new:
-            if len(w) > CACHED_LENGTH:  # long words rarely come again
-                del words[w]
-        ids, end = np.array(flat, np.int64), np.array(ends, np.int64)
-        size = end[at + 1] - end[at]
-        total = np.concatenate([[0], np.cumsum(size)])
-        taken = ids[np.repeat(end[at] - total[:-1], size) + np.arange(total[-1])]
-        upto = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
-        return taken, total[upto[1:]] - total[upto[:-1]]
+            begin = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, begin + size - total, side="right")))
+            held.append(b.slice(at, to - at))
+            total, at = total + int(ends[to - 1] - begin), to
+            if total >= size:
+                yield pa.Table.from_batches(held)
+                held, total = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def taken(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``values`` numbered ``rows``, one after the other, and their sizes; stretch k ends at ends[k]."""
+    begin = np.concatenate([[0], ends[:-1]])[rows] if len(ends) else np.zeros(0, np.int64)
+    size = ends[rows] - begin
+    upto = np.cumsum(size)
+    return values[np.repeat(begin - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)], size
+
+
+class WordEncoder:
+    """Ids of texts by words: each piece is encoded once while it is remembered.
+
+    Words whose characters are all below U+0250 are lowered and cut into the pattern's pieces here (for
+    these characters lowering, composition and classes have been fixed in Unicode for long), and the
+    library's model merges a piece's bytes; other words, and words that hold an added token, are encoded whole.
+    """
 
-    return run
+    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\x09-\x0d \x85\xa0a-z0-9\xaa\xb5\xba\xb2\xb3\xb9\xbc-\xbe\xdf-\xf6\xf8-\u024f]+")
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+        self.numbers: dict[str, int] = {}
+        self.letters = {b: c for c, b in byte_alphabet().items()}
+        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join(["[^\x00-\u024f]", *added])).search  # what isn't cut here
+        self.flat, self.ends, self.seen = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Keep the pieces that were met in several groups, unless these alone are too many."""
+        kept = [p for p, k in self.numbers.items() if self.seen[k] > 1 and len(p) <= CACHED_LENGTH]
+        kept = kept if len(kept) <= CACHED_WORDS // 2 else []
+        at = np.array([self.numbers[p] for p in kept], np.int64)
+        self.flat, size = taken(self.flat, self.ends, at)
+        self.ends, self.seen = np.cumsum(size), np.ones(len(kept), np.int32)
+        self.numbers = {p: k for k, p in enumerate(kept)}
+
+    def _learn(self, new: list[str]) -> None:
+        """Pieces go to the library's BPE model as they are; words that weren't cut, through all its steps."""
+        whole = [p for p in new if self.whole(p)]
+        encoded = {p: e.ids for p, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False), strict=True)}
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        found = [
+            encoded[p] if p in encoded else [t.id for t in tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters))]
+            for p in new
+        ]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        begin = self.ends[-1] if len(self.ends) else 0
+        self.numbers.update(zip(new, range(len(self.ends), len(self.ends) + len(new)), strict=True))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))])
+        self.ends = np.concatenate([self.ends, begin + np.cumsum(size)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int32)])
+
+    def pieces(self, word: str) -> list[str]:
+        low = word.lower()
+        return [word] if self.whole(low) or self.whole(word) else self.PIECE.findall(low)
+
+    def __call__(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and their number for each text."""
+        lists = pc.ascii_split_whitespace(texts.combine_chunks())
+        coded = lists.flatten().dictionary_encode()
+        if len(self.numbers) > CACHED_WORDS or len(self.flat) > 16 * CACHED_WORDS:
+            self._forget()
+        split = [self.pieces(w) for w in coded.dictionary.to_pylist()]
+        self._learn([p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.numbers])
+        places = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64)
+        self.seen[np.unique(places)] += 1
+        ids, size = taken(self.flat, self.ends, places)
+        piece_ends = np.cumsum([len(s) for s in split]).astype(np.int64)
+        word_ends = np.concatenate([[0], np.cumsum(size)])[piece_ends] if len(split) else piece_ends
+        out, n = taken(ids, word_ends, coded.indices.to_numpy())
+        upto = np.concatenate([[0], np.cumsum(n)])
+        words = np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)
+        return out, np.diff(upto[words], prepend=0)
 
 
 def _text_encoder(tokenizer):
-    def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [np.array(e.ids, np.int64) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def run(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.int64) for e in tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.int64), *found]), np.array([len(f) for f in found], np.int64)
 
     return run
 
 
+@cache
+def _encoder(path: str):
+    """A worker's encoder, kept from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return (WordEncoder if _wordwise(path) else _text_encoder)(tokenizer), tokenizer.get_vocab_size()
+
+
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, row (a number that tells rows apart), n_ids, ids (little-endian unsigned 32 bits)."""
+    """doc_id, row (a number that tells rows apart), n_ids, ids (little-endian, of two bytes if the vocabulary allows it, else four)."""
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        encoder = (_word_encoder if _wordwise(path) else _text_encoder)(tokenizer)
+        encoder, vocabulary = _encoder(path)
+        width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
         row = TaskContext.get().partitionId() << 40
-        for b in bounded(batches):
-            ids, n = encoder(b["text"].fill_null("").to_pylist())
-            whole = np.insert(ids, np.cumsum(n), end_id).astype("<u4").tobytes()
-            cut = np.concatenate([[0], np.cumsum(n + 1)]) * 4
+        for b in gathered(batches):
+            ids, n = encoder(pc.fill_null(b["text"], ""))
+            whole = np.insert(ids, np.cumsum(n), end_id).astype(f"<u{width}").tobytes()
+            cut = np.concatenate([[0], np.cumsum(n + 1)]) * width
             data = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(whole)])
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(row + np.arange(len(b))), pa.array(n + 1), data], schema=schema)
+            docs_ = b["doc_id"].combine_chunks()
+            yield pa.RecordBatch.from_arrays([docs_, pa.array(row + np.arange(len(b))), pa.array(n + 1), data], schema=schema)
             row += len(b)
 
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return in_batches(small, run, "doc_id long, row long, n_ids long, ids binary")
+    return in_batches(small, run, "doc_id long, row long, n_ids long, ids binary", size=BATCH_BYTES)
+
+
+def _numbers(b: pa.RecordBatch) -> np.ndarray:
+    """The ids of a batch of coded documents."""
+    data = b"".join(b["ids"].to_pylist())
+    total = pc.sum(b["n_ids"]).as_py() or 0
+    return np.frombuffer(data, f"<u{len(data) // total}" if total else "<u4")
 
 
 def id_counts(coded: DataFrame) -> DataFrame:
@@ -138,13 +213,13 @@ def id_counts(coded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            n = np.bincount(np.frombuffer(b"".join(b["ids"].to_pylist()), "<u4"))
+            n = np.bincount(_numbers(b))
             size = max(len(n), len(total))
             total = np.pad(total, (0, size - len(total))) + np.pad(n, (0, size - len(n)))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    return in_batches(coded.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return in_batches(coded.select("ids", "n_ids"), run, "id long, n long", size=BATCH_BYTES).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _open(path: str):
@@ -173,7 +248,7 @@ def _writer(folder: str, lengths: np.ndarray):
                 out = fs.open_output_stream(path)
             docs.append(b["doc_id"])
             sizes.append(b["n_ids"].to_numpy())
-            ids = np.frombuffer(b"".join(b["ids"].to_pylist()), "<u4")
+            ids = _numbers(b)
             for at in range(0, len(ids), CHUNK_IDS):
                 out.write(bits.add(ids[at : at + CHUNK_IDS]))
         if out is None:
@@ -207,7 +282,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, ids_per_file: in
     files = max(1, min(n_shuffle(spark), -(-total // (1 << 20))), -(-total // ids_per_file))
     order = ["doc_id", "key", "row"]
     sorted_ = coded.withColumn("key", F.xxhash64("ids")).repartitionByRange(files, *order).sortWithinPartitions(*order)
-    written = in_batches(sorted_, _writer(folder, lengths), "path string, first_doc long, first_key long, first_row long, n_docs long, n_ids long")
+    written = in_batches(sorted_, _writer(folder, lengths), "path string, first_doc long, first_key long, first_row long, n_docs long, n_ids long", size=BATCH_BYTES)
     parts = materialize(written, "id-files")
     before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "first_key", "first_row").rowsBetween(Window.unboundedPreceding, -1)
     index = parts.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))  # a row for each file

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import in_batches, materialize, scratch, sized
+from tidemark.llm.common import BATCH_BYTES, in_batches, materialize, sized
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 BLOCK_ROWS, BLOCK_NUMBERS = 8_192, 1_000_000
@@ -285,11 +285,11 @@ def compress(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
     ddl = STATE.format(label=label)
     schema = _arrow(ddl)
     blocks = kept.filter(F.size("embedding") == dim)
-    state = materialize(in_batches(blocks, _blocks(dim, scale, schema), ddl), "vector-blocks")
+    state = materialize(in_batches(blocks, _blocks(dim, scale, schema), ddl, size=BATCH_BYTES), "vector-blocks")
     sums = [np.zeros(v.shape, np.int64) for v in values]
     counts = [np.zeros(len(v), np.int64) for v in values]
     for _ in range(rounds):
-        state = materialize(in_batches(state.filter("vectors is not null"), _round(books, schema), ddl), "vector-round")
+        state = materialize(in_batches(state.filter("vectors is not null"), _round(books, schema), ddl, size=BATCH_BYTES), "vector-round")
         changed = state.filter("part is not null").select("part", "entry", "n", F.posexplode("sums").alias("i", "v"))
         total = changed.groupBy("part", "entry", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
         for r in total.collect():  # entries times components at most
@@ -298,9 +298,9 @@ def compress(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
                 counts[r.part][r.entry] += r.n
         moved = [np.where(n[:, None] > 0, s // np.maximum(n, 1)[:, None], v) for v, s, n in zip(books.values, sums, counts, strict=True)]
         books = books.moved(moved)
-    state = materialize(in_batches(state.filter("vectors is not null"), _round(books, schema), ddl), "vector-round")
+    state = materialize(in_batches(state.filter("vectors is not null"), _round(books, schema), ddl, size=BATCH_BYTES), "vector-round")
     found = state.filter("vectors is not null").select("vec_id", "label", "vectors", "own")
-    return in_batches(found, _coded(books, _arrow(result)), result), books
+    return in_batches(found, _coded(books, _arrow(result)), result, size=BATCH_BYTES), books
 
 
 def with_label_errors(codes: DataFrame) -> DataFrame:
