@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_batches, materialize, n_shuffle, sized
+from tidemark.llm.common import BATCH_BYTES, in_batches, materialize, n_shuffle, sized
 from tidemark.llm.components import components
 from tidemark.llm.mixing import running_sum
 from tidemark.llm.shingles import chunks, mix, shingle_sets
@@ -89,7 +89,7 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, with_sets: bool, k: in
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     last = "members array<long>" if with_sets else "signature binary"
-    return in_batches(slim, _rows(with_sets, k), f"doc_id {kind}, n long, node long, second long, {last}")
+    return in_batches(slim, _rows(with_sets, k), f"doc_id {kind}, n long, node long, second long, {last}", size=BATCH_BYTES)
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
