@@ -223,3 +223,18 @@ def test_bitmap_ids_stay(spark):
     days = bitmaps.daily(pairs, bitmaps.id_map(keys("a", "d", "e"), "u", first), "u", "day")
     assert {r.day: r.n for r in bitmaps.counts(days, "day", "n").collect()} == {"x": 2, "y": 2}
     assert bitmaps.counts(bitmaps.rolled(days, F.lit("all"), "g"), "g", "n").first().n == 3
+
+
+def test_bucketed_staging_shuffles_no_events(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalog.bucketed(spark, DATA)
+        assert df.count() == fx_events(spark, DATA).count()
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan
+        df.collect()
+        ran = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "Exchange hashpartitioning" not in ran and "BroadcastExchange" in ran  # the small category lookup
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

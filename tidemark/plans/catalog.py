@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,13 +11,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import clean as C
 from tidemark.functions import dates as D
-from tidemark.operators import bitmaps, quality, star, upsert
+from tidemark.operators import bitmaps, buckets, quality, star, upsert
 from tidemark.plans import metrics as M
 from tidemark.plans import pipeline
+from tidemark.plans.sql import run_block
 from tidemark.plans.weeks import week_frame
 from tidemark.schema import RAW, RAW_COLUMNS, STAR, reset_tables
 from tidemark.session import shared_path, written
 from tidemark.sources import events as E
+from tidemark.sources import rejects
 from tidemark.sources.fixtures import fx_events, fx_orders, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -625,3 +628,103 @@ add(
     "orphan_documents", lambda s, d: quality.orphans(table(s, d, "documents").select("doc_id", "source"), table(s, d, "labels"), "doc_id"),
     "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 )
+
+# Loading past bad rows and files --------------------------------------------------------------
+
+_CSV = ("event_time", "event_type", "product_id", "category_id", "category_code", "brand", "price", "user_id", "user_session")
+BAD_ROW = f"event_type = 'error' AND event_time >= TIMESTAMP '{CUT}'"
+
+
+def _csv_folder(s: SparkSession, d: str) -> str:
+    """Folders early and late of CSV files; rows of BAD_ROW have no number for a price."""
+    path = shared_path(s, "csv")
+    price = F.when(F.expr(BAD_ROW), "n/a").otherwise(F.col("price").cast("string"))
+    ev = fx_events(s, d)
+    for name, part in (("early", _before(ev)), ("late", _after(ev))):
+        said = part.withColumn("price", price).withColumn("event_time", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss"))
+        said.select(*_CSV).write.option("header", True).csv(f"{path}/{name}")
+    return path
+
+
+def _rejected(s: SparkSession, d: str) -> DataFrame:
+    rows, bad = rejects.read_csv(s, _csv_folder(s, d))
+    return bad.select("record")
+
+
+def _folder(c: str):
+    return F.element_at(F.split(c, "/"), -2).alias("folder")
+
+
+def _by_folder(report: DataFrame) -> DataFrame:
+    return report.groupBy(_folder("file"), "status").agg(F.sum("rows_loaded").alias("rows_loaded"), F.sum("rows_rejected").alias("rows_rejected"))
+
+
+def _csv_report(s: SparkSession, d: str) -> DataFrame:
+    path = _csv_folder(s, d)
+    return _by_folder(rejects.csv_report(s, path, *rejects.read_csv(s, path))).groupBy("folder").agg(
+        F.sum("rows_loaded").alias("rows_loaded"), F.sum("rows_rejected").alias("rows_rejected")
+    )  # which of a folder's files hold bad rows is the writer's choice
+
+
+def _parquet_report(s: SparkSession, d: str) -> DataFrame:
+    """Raw data beside a file that isn't Parquet."""
+    path = shared_path(s, "parquet")
+    cleaned(s, d).write.parquet(f"{path}/good")
+    fs, p = E.hadoop_fs(s, f"{path}/bad/broken.parquet")
+    out = fs.create(p)
+    out.write(bytearray(b"not a table" * 100))
+    out.close()
+    return _by_folder(rejects.parquet_report(s, path, written(rejects.read_parquet(s, path), "loaded")))
+
+
+_LINES = f"""SELECT strftime(event_time, '%Y-%m-%d %H:%M:%S') || ',' || event_type || ',' || product_id || ',' || category_id || ',' || coalesce(category_code, '') || ',' ||
+ coalesce(brand, '') || ',n/a,' || user_id || ',' || user_session AS record FROM fx WHERE {BAD_ROW}"""
+add("copy_rejected_rows", _rejected, f"WITH {_FX} {_LINES}")
+add("copy_csv_report", _csv_report, f"""WITH {_FX} SELECT CASE WHEN event_time >= TIMESTAMP '{CUT}' THEN 'late' ELSE 'early' END AS folder,
+ count(*) FILTER (WHERE NOT ({BAD_ROW})) AS rows_loaded, count(*) FILTER (WHERE {BAD_ROW}) AS rows_rejected FROM fx GROUP BY 1""")
+add("copy_parquet_report", _parquet_report, f"WITH {_FX} SELECT 'good' AS folder, 'LOADED' AS status, count(*) AS rows_loaded, 0::BIGINT AS rows_rejected FROM fx UNION ALL SELECT 'bad', 'LOAD_FAILED', 0, NULL")
+
+# A script of several statements over a given table --------------------------------------------
+
+#: Parameters: first_day, last_day, target. Loads week by week; a failure leaves no half-filled table.
+WEEKS_SCRIPT = """
+BEGIN
+  DECLARE monday DATE DEFAULT date_trunc('week', session.first_day);
+  DECLARE EXIT HANDLER FOR SQLEXCEPTION
+  BEGIN
+    DROP TABLE IF EXISTS IDENTIFIER(session.target);
+    SELECT CAST(NULL AS DATE) AS event_date, CAST(NULL AS STRING) AS event_type, CAST(NULL AS BIGINT) AS cnt WHERE false;
+  END;
+  CREATE TABLE IDENTIFIER(session.target) (event_date DATE, event_type STRING, cnt BIGINT) USING parquet;
+  WHILE monday <= session.last_day DO
+    INSERT INTO IDENTIFIER(session.target)
+      SELECT CAST(event_time AS DATE), event_type, count(*) FROM script_events
+      WHERE event_time >= monday AND event_time < date_add(monday, 7)
+        AND CAST(event_time AS DATE) BETWEEN session.first_day AND session.last_day GROUP BY ALL;
+    SET monday = date_add(monday, 7);
+  END WHILE;
+  SELECT * FROM IDENTIFIER(session.target);
+END
+"""
+
+
+def _script(s: SparkSession, d: str) -> DataFrame:
+    fx_events(s, d).createOrReplaceTempView("script_events")
+    target = "weeks_" + shared_path(s, "x").rsplit("-", 1)[-1]
+    return run_block(s, WEEKS_SCRIPT, {"first_day": dt.date(2024, 1, 3), "last_day": dt.date(2024, 1, 25), "target": target})
+
+
+add("script_weeks", _script, f"WITH {_FX} SELECT CAST(event_time AS DATE) AS event_date, event_type, count(*) AS cnt FROM fx WHERE CAST(event_time AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-25' GROUP BY ALL")
+
+# The staging join of bucketed tables ------------------------------------------------------------
+
+
+def bucketed(s: SparkSession, d: str, n: int = 8) -> DataFrame:
+    """Staging from a fact and a product table in buckets of product_id."""
+    clean, tag = written(cleaned(s, d), "cleaned"), shared_path(s, "x").rsplit("-", 1)[-1]
+    buckets.save(star.fact_rows(clean), f"fact_{tag}", "product_id", n)
+    buckets.save(star.product_dim(clean), f"product_{tag}", "product_id", n)
+    return buckets.staging(s, f"fact_{tag}", f"product_{tag}", written(star.category_dim(clean), "categories"))
+
+
+add("staging_bucketed", lambda s, d: bucketed(s, d).drop("time_id"), ORACLE["fact_star_join"])

@@ -32,3 +32,14 @@ def run_script(spark: SparkSession, text: str, args: dict[str, object] | None =
         used = {k: v for k, v in (args or {}).items() if re.search(rf":{re.escape(k)}\b", s)}
         last = spark.sql(s, args=used) if used else spark.sql(s)
     return last
+
+
+def run_block(spark: SparkSession, text: str, args: dict[str, object] | None = None) -> DataFrame | None:
+    """Run a script as one SQL scripting block, with variables, loops and handlers.
+
+    Parameters are session variables of the block's names, set before it runs, so every statement
+    sees them; a handler in the text decides what a failure undoes. Returns the last result.
+    """
+    for name, value in (args or {}).items():
+        spark.sql(f"DECLARE OR REPLACE VARIABLE `{name}` = ?", args=[value])
+    return spark.sql(text)
