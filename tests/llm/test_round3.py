@@ -289,3 +289,21 @@ def test_token_query(spark):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
     got = QUERIES["op13_token_ids"](spark, DATA).orderBy("start").collect()
     assert [tuple(r) for r in got] == [w[:4] for w in token_brute(docs)]
+
+
+# rulers ---------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_rulers_come_from_the_fold(spark, file):
+    """Runs of one character and of short patterns: all windows share a token, so none is left to the heap."""
+    from tidemark.llm import bpe
+
+    rank = bpe.ranks(public.path(file))
+    size = np.zeros(max(rank.values()) + 1, np.int64)
+    for token, i in rank.items():
+        size[i] = len(token)
+    rulers = [bytes([c]) * n for c in b"=-_*#.~+" for n in (5000, 4999, 3001)] + [p * 1201 for p in (b"=-", b"abc", b"-+-", b"haha", "—".encode())]
+    for w in rulers:
+        whole = bpe.stitched([np.array(bpe.long_word(x, rank)) for x in bpe.windows(w)], size)
+        assert whole is not None and whole.tolist() == bpe.long_word(w, rank)

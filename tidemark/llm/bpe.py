@@ -54,7 +54,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tidemark.llm.common import in_batches, n_shuffle
 
 SLOTS = 65_536
-WINDOW, STRIDE = 1_080, 720
+#: 960 is a multiple of the lengths of the tokens that runs of one character merge into (16, 32, 48, 64, ...),
+#: so the windows of a ruler break at the same places.
+WINDOW, STRIDE = 1_440, 960
 EPOCH_BYTES = 16_000_000
 CHUNK_BYTES, ROW_WORDS = 2_000_000, 4_096
 #: Fixed value: the pattern for which cutting at single spaces is right.
