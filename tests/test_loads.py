@@ -150,6 +150,16 @@ def test_a_load_writes_what_it_touches(spark, tmp_path, clean):
     same(spark, root)
 
 
+def test_a_load_leaves_no_intermediates(spark, tmp_path, clean):
+    from tidemark.session import shared_path
+    from tidemark.sources.events import list_folders
+
+    folder = shared_path(spark, "x").rsplit("/", 1)[0]
+    before = list_folders(spark, folder)
+    pipeline.run_load(spark, str(tmp_path), clean.filter("event_time < '2024-01-03'"))
+    assert list_folders(spark, folder) == before and pipeline.staging(spark, str(tmp_path)).count()
+
+
 def seen(spark, root):
     star_ = {n: upsert.current(spark, root, n).count() for n in ("time_dim", "user_dim", "category_dim", "product_dim", "fact")}
     return star_ | {"staging": pipeline.staging(spark, root).count(), "dau": rows(pipeline.table(spark, root, "dau").toPandas())}

@@ -15,7 +15,7 @@ from tidemark.operators import star
 from tidemark.operators.upsert import Load, current, new_rows, paths, spread_table
 from tidemark.plans import metrics, refresh
 from tidemark.plans.state import State
-from tidemark.session import written
+from tidemark.session import scratch, written
 
 MAX_PARTS = 60
 ANCHOR = "2024-01-01"
@@ -73,9 +73,10 @@ def write_star(run: Load, clean: DataFrame, anchor: str = ANCHOR) -> DataFrame:
 
 def load(spark: SparkSession, root: str, clean: DataFrame, anchor: str = ANCHOR) -> None:
     """One load of the star schema: readers see all its tables' new rows, or none."""
-    run = Load(spark, root)
-    write_star(run, clean, anchor)
-    run.commit()
+    with scratch(spark):
+        run = Load(spark, root)
+        write_star(run, clean, anchor)
+        run.commit()
 
 
 STAGING = (
@@ -117,12 +118,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
 
 def run_load(spark: SparkSession, root: str, clean: DataFrame, anchor: str = ANCHOR, state: tuple[str, str] | None = None) -> dict[str, int]:
     """Star, staging, state and analysis tables in one load under one mark; rows written to the analysis tables."""
-    run = Load(spark, root)
-    added = write_staging(run, write_star(run, clean, anchor), anchor)
-    wrote = refresh.refresh(refresh.Store(spark, root, run), added)
-    if state:
-        run.publish(State.frame(spark, *state), "state")
-    run.commit()
+    with scratch(spark):
+        run = Load(spark, root)
+        added = write_staging(run, write_star(run, clean, anchor), anchor)
+        wrote = refresh.refresh(refresh.Store(spark, root, run), added)
+        if state:
+            run.publish(State.frame(spark, *state), "state")
+        run.commit()
     return wrote
 
 

@@ -85,13 +85,20 @@ class Store:
         """A set's rows of some months: other folders aren't read."""
         return self.raw(name).filter(F.col("month").isin(months))
 
-    def add(self, name: str, df: DataFrame) -> None:
+    def add(self, name: str, df: DataFrame) -> DataFrame | None:
+        """Append increments, and give them back as they were written; or new rows of a set."""
         if name in SETS:
             self.load.spread(df, f"state_{name}", "month")
-            return
-        self.load.append(df, f"state_{name}")
+            return None
+        path = self.load.append(df, f"state_{name}")
         if len(paths(self.spark, self.root, f"state_{name}", self.load)) > MAX_PARTS:
             self.load.publish(self.state(name), f"state_{name}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def add_all(self, frames: dict[str, DataFrame]) -> dict[str, DataFrame | None]:
+        """The same for several tables, side by side."""
+        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+            return dict(zip(frames, pool.map(lambda n: self.add(n, frames[n]), frames), strict=True))
 
 
 @dataclass
@@ -142,20 +149,20 @@ def take(store: Store, added: DataFrame) -> Delta:
     day = F.col("event_time_ymd")
     grain = [*STATE["hours"][0]]
     sums = added.groupBy(*grain).agg(F.count("*").alias("events"), F.count("user_session").alias("sessions"), _revenue().cast("decimal(28,2)").alias("revenue"))
-    hours = written(sums, "hours")
+    hours = store.add("hours", sums)
     days = sorted(r[0] for r in hours.select("event_time_ymd").distinct().collect())  # of this load
     months = sorted({d.replace(day=1) for d in days})
     first = dt.date.fromisoformat(D.ANCHOR)
     bins = sorted({d - (d - first) % dt.timedelta(days=7) for d in days})
     around = _around(months)
-    store.add("hours", hours)
     bought = M.purchases(added).filter(F.col("category_lv_2") != "unknown")
-    store.add("brands", bought.groupBy(D.month("event_time").alias("month"), "category_lv_2", "brand").agg(_revenue().cast("decimal(28,2)").alias("revenue")))
-    store.add("buyers", M.buyers(added).withColumn("monetary", F.col("monetary").cast("decimal(28,2)")))
-    store.add("newest", added.agg(F.max("event_time").alias("latest_event_time")))
-
     visits = added.select(day.alias("day"), "user_session", (F.col("event_type") == "purchase").alias("bought")).distinct()
-    store.add("sessions", _new_rows(store, "sessions", visits, months).withColumn("month", D.month("day")))
+    store.add_all({
+        "brands": bought.groupBy(D.month("event_time").alias("month"), "category_lv_2", "brand").agg(_revenue().cast("decimal(28,2)").alias("revenue")),
+        "buyers": M.buyers(added).withColumn("monetary", F.col("monetary").cast("decimal(28,2)")),
+        "newest": added.agg(F.max("event_time").alias("latest_event_time")),
+        "sessions": _new_rows(store, "sessions", visits, months).withColumn("month", D.month("day")),
+    })
 
     # A user's new days, and what they change in the cohorts.
     active = added.filter("user_id is not null").select("user_id", day.alias("day")).distinct()
@@ -190,10 +197,8 @@ def take(store: Store, added: DataFrame) -> Delta:
         F.struct(F.lit(1).alias("sign"), D.year_month("now").alias("cohort_month")), F.struct(F.lit(-1).alias("sign"), D.year_month("was").alias("cohort_month"))
     )).alias("s")).select("s.*").filter("cohort_month is not null")
     moved["cohorts"] = sizes.groupBy("cohort_month").agg(F.sum("sign").cast("long").alias("users")).filter("users <> 0")
-    moved = {n: written(df, n) for n, df in moved.items()}
-    moved |= {"user_days": new_days.select("user_id", "day", "month"), "first_seen": users.select("user_id", F.col("now").alias("first_time"))}
-    for name, df in moved.items():
-        store.add(name, df)
+    sets = {"user_days": new_days.select("user_id", "day", "month"), "first_seen": users.select("user_id", F.col("now").alias("first_time"))}
+    moved = store.add_all(moved | sets)
     cohort_days = moved["ret_day"].select("cohort_date").union(moved["ret_month"].select("cohort_date")).distinct()
     cohort_months = moved["ret_week"].select("cohort_month").union(moved["cohorts"].select("cohort_month")).distinct()
     return Delta(added, days, months, bins, around, written(cohort_days, "cohort-days"), written(cohort_months, "cohort-months"))
@@ -354,7 +359,7 @@ RESULTS: dict[str, tuple[Result, list[str]]] = {
 }
 #: Results that read results of earlier waves.
 LATER = (("stickiness", "active_users"), ("stickiness_mau",))
-SIDE_BY_SIDE = 4
+SIDE_BY_SIDE = 8
 #: Published as a whole.
 WHOLE = ("rfm_combined", "latest_date")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,8 +33,27 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is ``written`` within goes at the end; for work whose results stand elsewhere by then."""
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        for path in mine:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage is cut, and lost executors cost nothing."""
     path = shared_path(df.sparkSession, tag)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
