@@ -307,3 +307,13 @@ def test_rulers_come_from_the_fold(spark, file):
     for w in rulers:
         whole = bpe.stitched([np.array(bpe.long_word(x, rank)) for x in bpe.windows(w)], size)
         assert whole is not None and whole.tolist() == bpe.long_word(w, rank)
+
+
+def test_toxicity_over_all_held_out_labels(spark):
+    """Of all held-out texts labelled toxic, those without a toxic word among them, at least 9 of 14 are found."""
+    data = f"{DATA}/../sf0.01"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r.toxic is not None}
+    own = [(r.predicted, truth[r.doc_id]) for r in QUERIES["op3_toxicity"](spark, data).collect() if r.held_out and r.doc_id in truth]
+    toxic = [p for p, t in own if t]
+    assert len(toxic) == 14 and sum(toxic) >= 9
+    assert sum(p for p, t in own if not t) <= 1
