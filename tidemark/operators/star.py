@@ -105,3 +105,16 @@ def staged(clean: DataFrame) -> DataFrame:
     base = clean.select("user_id", "user_session", "category_id", "product_id", "event_type", *TIME_COLUMNS)
     combos = combinations(clean)
     return base.join(category_of(combos), "category_id", "left").join(product_of(combos), "product_id", "left")
+
+
+def mode_price(events: DataFrame) -> DataFrame:
+    """product_id and its price as in ``product_dim``. Prices are never imputed, so raw events will do."""
+    counts = events.groupBy("product_id", "price").agg(F.count("*").alias("rows"), F.max(time_id()).alias("newest"))
+    best = F.min(F.struct((-F.col("rows")).alias("a"), (-F.col("newest")).alias("b"), F.col("price").alias("v")))
+    return counts.groupBy("product_id").agg(best.alias("p")).select("product_id", F.col("p.v").alias("price"))
+
+
+def priced(events: DataFrame) -> DataFrame:
+    """Events at their product's mode price: staging for what needs no brand and no category, with one lookup and without imputation."""
+    timed = events.filter("event_time is not null")
+    return timed.drop("price").join(mode_price(timed), "product_id", "left")

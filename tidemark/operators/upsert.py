@@ -26,30 +26,24 @@ def merge(
 
     With ``update`` a source row replaces the target rows of its key, else those stay and the source
     row is left out. Source rows of other keys are inserted. Null keys never match unless
-    ``null_safe``; such rows then need no shuffle. A source with several rows for a key is an error at
-    run time, unless ``several``: then each is inserted (an update can't choose among them and fails).
+    ``null_safe``. A source with several rows for a key is an error at run time, unless ``several``: then each is inserted (an update can't choose among them and fails).
     counts: an Observation that gets kept, updated and inserted.
     """
     names = target.columns
     both = target.withColumn("__new", F.lit(False)).unionByName(source.select(*names).withColumn("__new", F.lit(True)))
-    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
-    loose = None if null_safe else both.filter(~known)
-    if not null_safe:
-        both = both.filter(known)
-    by = Window.partitionBy(*keys)
-    old, new = F.count_if(~F.col("__new")).over(by), F.count_if(F.col("__new")).over(by)
-    tagged = both.withColumns({"__old": old, "__news": new})
+    known = F.lit(True) if null_safe else reduce(and_, [F.col(k).isNotNull() for k in keys])
+    both = both.withColumn("__lone", F.when(~known, F.xxhash64(*names)))  # deals rows that match nothing all over
+    by = Window.partitionBy(*keys, "__lone")
+    tagged = both.withColumns({"__old": F.count_if(~F.col("__new")).over(by), "__news": F.count_if(F.col("__new")).over(by)})
     if update or not several:
         error = F.raise_error(F.concat(F.lit(f"the source has several rows for one key of {list(keys)}: "), F.to_json(F.struct(*keys))))
-        tagged = tagged.withColumn("__old", F.when(F.col("__news") > 1, error.cast("long")).otherwise(F.col("__old")))
-    action = F.when(F.col("__new") & (F.col("__old") == 0), INSERTED)
+        tagged = tagged.withColumn("__old", F.when(known & (F.col("__news") > 1), error.cast("long")).otherwise(F.col("__old")))
+    action = F.when(F.col("__new") & (~known | (F.col("__old") == 0)), INSERTED)
     if update:
-        action = action.when(F.col("__new"), UPDATED).when(F.col("__news") == 0, KEPT)
+        action = action.when(F.col("__new"), UPDATED).when(~known | (F.col("__news") == 0), KEPT)
     else:
         action = action.when(~F.col("__new"), KEPT)
     out = tagged.withColumn("action", action).filter("action is not null").select(*names, "action")
-    if loose is not None:
-        out = out.unionByName(loose.withColumn("action", F.when(F.col("__new"), INSERTED).otherwise(KEPT)).select(*names, "action"))
     if counts is None:
         return out
     return out.observe(counts, *[F.count_if(F.col("action") == a).alias(a) for a in (KEPT, UPDATED, INSERTED)])

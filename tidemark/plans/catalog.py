@@ -149,6 +149,12 @@ def on_staged(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
     add(name, lambda s, d: f(staged(s, d)), f"WITH {_STAR.replace('ev AS', 'e0 AS', 1).replace('FROM ev)', 'FROM e0)', 1)}, ev AS (SELECT * FROM st) {sql}")
 
 
+def on_priced(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """Metrics that need only the price of staging's lookups."""
+    on_staged(name, f, sql)
+    QUERIES[name] = lambda s, d: f(star.priced(timed(s, d)))
+
+
 def on_orders(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
     add(name, lambda s, d: f(fx_orders(s, d)), f"WITH {_FXO}, {_FIRST} {sql}")
 
@@ -189,6 +195,10 @@ for _name, _f, _sql in (
     ("purchased_order", M.purchased_order, _ORDERED),
     ("price_distribution", M.price_distribution, _PRICE),
     ("monthly_price_event_type", M.monthly_price_event_type, _MPE),
+):
+    on_priced(_name, _f, _sql)
+
+for _name, _f, _sql in (
     ("category_lv2_top10", M.category_lv2_top, _LV2),
     ("category_lv1_revenue", lambda ev: M.category_revenue(ev, "category_lv_1"), f"SELECT category_lv_1, count(DISTINCT product_id) AS products, count(DISTINCT user_id) AS customers, {_MONEY} AS revenue, round({_MONEY} / count(price), 4) AS mean_price FROM ev WHERE event_type = 'purchase' GROUP BY 1"),
     ("category_revenue", lambda ev: M.category_revenue(ev, "category_lv_1", "category_lv_2"), f"SELECT category_lv_1, category_lv_2, count(DISTINCT product_id) AS products, count(DISTINCT user_id) AS customers, {_MONEY} AS revenue, round({_MONEY} / count(price), 4) AS mean_price FROM ev WHERE event_type = 'purchase' GROUP BY ALL"),
@@ -453,13 +463,29 @@ def _reset(s: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+_roots: dict[tuple[str, str, str], str] = {}
+
+
+def _root(s: SparkSession, d: str, kind: str, make: Callable[[str], None]) -> str:
+    """The root of tables that several queries read, made once in an application."""
+    key = (s.sparkContext.applicationId, d, kind)
+    if key not in _roots:
+        root = shared_path(s, kind)
+        make(root)
+        _roots[key] = root
+    return _roots[key]
+
+
 def _loaded(name: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         """Loaded up to the cut, then the rest, then the rest again: appended once."""
-        root, ev = shared_path(s, "star"), fx_events(s, d)
-        for part in (_before(ev), _after(ev), _after(ev)):
-            pipeline.load(s, root, C.clean_events(part, ANCHOR))
-        return upsert.current(s, root, name)
+
+        def make(root: str) -> None:
+            ev = fx_events(s, d)
+            for part in (_before(ev), _after(ev), _after(ev)):
+                pipeline.load(s, root, C.clean_events(part, ANCHOR))
+
+        return upsert.current(s, _root(s, d, "star", make), name)
 
     return run
 
@@ -482,18 +508,17 @@ add("windowed_star_join", lambda s, d: _span(staged(s, d), "2024-01-08", "2024-0
 
 #: The middle weeks first, then the last, then the first, so that cohorts move.
 LOADS = ("event_time >= '2024-01-08' AND event_time < '2024-01-22'", "event_time >= '2024-01-22'", "event_time < '2024-01-08'")
-_roots: dict[tuple[str, str], str] = {}
 
 
 def loaded_root(s: SparkSession, d: str) -> str:
-    """The tables after three loads, made once in an application."""
-    key = (s.sparkContext.applicationId, d)
-    if key not in _roots:
-        root, clean = shared_path(s, "loads"), written(cleaned(s, d), "cleaned")
+    """The tables after three loads."""
+
+    def make(root: str) -> None:
+        clean = written(cleaned(s, d), "cleaned")
         for part in LOADS:
             pipeline.run_load(s, root, clean.filter(part), ANCHOR)
-        _roots[key] = root
-    return _roots[key]
+
+    return _root(s, d, "loads", make)
 
 
 _NTH = " ".join(f"WHEN {p.replace(chr(39) + '2024', 'TIMESTAMP ' + chr(39) + '2024')} THEN {n}" for n, p in enumerate(LOADS))
@@ -535,10 +560,13 @@ def holed(ev: DataFrame) -> DataFrame:
 def _reloaded(name: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         """Events with nulls in their keys: up to the cut, then the rest, then the rest again."""
-        root, clean = shared_path(s, "star"), written(C.clean_events(holed(fx_events(s, d)), ANCHOR), "cleaned")
-        for part in (_before(clean), _after(clean), _after(clean)):
-            pipeline.load(s, root, part)
-        return upsert.current(s, root, name)
+
+        def make(root: str) -> None:
+            clean = written(C.clean_events(holed(fx_events(s, d)), ANCHOR), "cleaned")
+            for part in (_before(clean), _after(clean), _after(clean)):
+                pipeline.load(s, root, part)
+
+        return upsert.current(s, _root(s, d, "reloads", make), name)
 
     return run
 
