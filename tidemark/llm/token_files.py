@@ -49,7 +49,7 @@ from tidemark.llm.alignment import byte_alphabet
 from tidemark.llm.common import BATCH_BYTES, in_batches, materialize, n_shuffle, scratch
 
 MAGIC = b"tm-ids-1"
-IDS_PER_FILE, CHUNK_IDS, GROUP_BYTES = 1 << 25, 1 << 18, 16_000_000
+IDS_PER_FILE, CHUNK_IDS, GROUP_BYTES = 1 << 28, 1 << 18, 16_000_000
 CACHED_WORDS, CACHED_LENGTH = 300_000, 48
 #: Fixed value: the pre-tokenizing patterns without white space whose matches are all that is kept.
 WORDWISE = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
