@@ -2,11 +2,16 @@
 
 CSV: a line that doesn't fit the schema is kept as text with its file. Parquet: a file that can't be
 read is skipped, one that breaks off gives the rows before the break; the report holds each file's rows
-by its footer (counted without reading a column) against those that were loaded.
+by its footer (counted without reading a column) against those that were loaded. A file without rows,
+which a writer's empty task may leave, is loaded if its footer can be read.
 """
 
 from __future__ import annotations
 
+import re
+from multiprocessing.pool import ThreadPool
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -17,6 +22,7 @@ from tidemark.sources.events import hadoop_fs
 
 LOADED, PARTLY, FAILED = "LOADED", "PARTIALLY_LOADED", "LOAD_FAILED"
 RECORD = "_record"
+FOOTERS = 8  # read at once
 
 
 def _files(spark: SparkSession, path: str, ending: str) -> DataFrame:
@@ -36,6 +42,17 @@ def _uri(c: str):
     return F.regexp_replace(c, "^file:/+", "file:/")
 
 
+def _readable(spark: SparkSession, file: str) -> bool:
+    """Whether the footer of a Parquet file can be read."""
+    try:
+        spark.read.option("ignoreCorruptFiles", True).parquet(re.sub(r"([\\{}\[\]*?])", r"\\\1", file))
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return False
+    return True
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType = EVENT_CSV) -> tuple[DataFrame, DataFrame]:
     """(rows with their file, rejected lines as file and record): one pass, written once."""
     wide = StructType([*schema.fields]).add(RECORD, StringType())
@@ -64,12 +81,18 @@ def csv_report(spark: SparkSession, path: str, rows: DataFrame, rejected: DataFr
 def parquet_report(spark: SparkSession, path: str, rows: DataFrame, schema: StructType = RAW) -> DataFrame:
     """file, status, rows_loaded, rows_rejected (by the footer; null if that can't be read) of every file.
 
-    rows: what was loaded, as a written table with ``file``, so that the report is about the rows that were kept.
+    Only for the files that gave no row, footers are read one by one, to tell empty files from broken ones. rows: what was loaded, as a written table with ``file``, so that the report is about the rows that were kept.
     """
     expected = read_parquet(spark, path, schema).groupBy("file").agg(F.count("*").alias("expected"))
     loaded = rows.groupBy("file").agg(F.count("*").alias("rows_loaded"))
     both = expected.join(loaded, "file", "full").withColumn("file", _uri("file"))
     listed = _files(spark, path, ".parquet").withColumn("file", _uri("file")).join(both, "file", "left")
+    bare = [r.file for r in listed.filter("expected is null").select("file").collect()]
+    with ThreadPool(FOOTERS) as pool:
+        empty = [f for f, fine in zip(bare, pool.map(lambda f: _readable(spark, f), bare), strict=True) if fine]
     kept = F.coalesce("rows_loaded", F.lit(0))
+    if empty:
+        rowless = spark.createDataFrame([(f, 0) for f in empty], "file string, none long")
+        listed = listed.join(rowless, "file", "left").withColumn("expected", F.coalesce("expected", "none"))
     status = F.when(F.col("expected").isNull(), FAILED).when(kept < F.col("expected"), PARTLY).otherwise(LOADED)
     return listed.select("file", status.alias("status"), kept.alias("rows_loaded"), (F.col("expected") - kept).alias("rows_rejected"))
