@@ -317,3 +317,15 @@ def test_toxicity_over_all_held_out_labels(spark):
     toxic = [p for p, t in own if t]
     assert len(toxic) == 14 and sum(toxic) >= 9
     assert sum(p for p, t in own if not t) <= 1
+
+
+def test_tokenize_plan_does_not_print_the_vocabulary(spark):
+    """The driver keeps a plan's text for each step of adaptive execution, several times."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words, é and 世界"), (2, None)], "doc_id long, text string")
+    plan = corpus_pipeline.tokenize(spark, docs, "")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    assert len(plan._jdf.queryExecution().explainString(mode)) < 50_000
+    texts = {1: "some words, é and 世界", 2: ""}
+    assert {r.doc_id: r.decoded_sha256 for r in plan.collect()} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items()}

@@ -99,11 +99,14 @@ def rank_map(spark: SparkSession, path: str) -> Column:
 
 
 def pieces(spark: SparkSession, path: str) -> Column:
-    """Literal: the byte string of each id (null for numbers that aren't ids)."""
+    """Literal: the byte string of each id (null for numbers that aren't ids), as array_join takes them.
+
+    Cast before it is set: a cast literal would be folded, and its 50,000 strings printed in every plan.
+    """
     some = _vocabulary(spark, path)
     all_ids = spark.range(max(ranks(path).values()) + 1).select(F.col("id").cast("int").alias("id")).join(some, "id", "left")
-    in_order = "transform(array_sort(collect_list(struct(id, token)), (x, y) -> x.id - y.id), s -> s.token)"
-    return _variable(spark, "pieces", path, "array<binary>", all_ids, in_order)
+    in_order = "transform(array_sort(collect_list(struct(id, token)), (x, y) -> x.id - y.id), s -> cast(s.token as string))"
+    return _variable(spark, "pieces", path, "array<string>", all_ids, in_order)
 
 
 def _let(value: Column, use) -> Column:
@@ -496,6 +499,6 @@ def encode(
 
 def decode(ids: Column, spark: SparkSession, path: str) -> Column:
     """The bytes of an ids column: the ids' byte strings one after the other."""
-    table = pieces(spark, path).cast("array<string>")  # the same bytes, as array_join takes them
+    table = pieces(spark, path)
     unknown = F.raise_error(F.lit("an id is not in the vocabulary")).cast("string")
     return F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(table, i), unknown)), "").cast("binary")
