@@ -291,6 +291,36 @@ def test_token_query(spark):
     assert [tuple(r) for r in got] == [w[:4] for w in token_brute(docs)]
 
 
+def test_known_words_are_cut_at_once():
+    """No Python call for each word of a group whose words are known; ids as from the library."""
+    import sys
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
+    odd = ["İstanbul", "ȺB Ɓa Ɇf", "ſtraße STRASSE", "\u212Aelvin", "ΑΣ ΑΣΑ", "don't DON'T 'LL", "a\x1cb\x85c\xa0d", "x²³ 12.5", "", " \n ", "ÀÉ\u0301"]
+    odd += [f"{a}{t}{b}" for t in added for t in (t, t.upper(), t.lower()) for a, b in (("", ""), ("x", "y "), (" ", "'s"))]
+    texts = [*odd, " ".join(f"w{k}x{k * 7919 % 1000}" for k in range(5000)), "of words"]
+    encode = token_files.WordEncoder(whole)
+    for _ in range(2):
+        calls = 0
+
+        def count(frame, event, arg):
+            nonlocal calls
+            calls += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        ids, n = encode(pa.chunked_array([pa.array(texts)]))
+        sys.setprofile(None)
+        want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert calls < 2_000
+    assert [x.tolist() for x in encode(pa.chunked_array([pa.array(["", " "])]))] == [[], [0, 0]]
+
+
 # rulers ---------------------------------------------------------------------------------
 
 

@@ -34,6 +34,7 @@ import json
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -96,19 +97,22 @@ def taken(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.nd
 class WordEncoder:
     """Ids of texts by words: each piece is encoded once while it is remembered.
 
-    Words whose characters are all below U+0250 are lowered and cut into the pattern's pieces here (for
-    these characters lowering, composition and classes have been fixed in Unicode for long), and the
-    library's model merges a piece's bytes; other words, and words that hold an added token, are encoded whole.
+    Words whose characters are all below U+0250, lowered too, are lowered and cut into the pattern's pieces
+    here (for these characters lowering, composition and classes have been fixed in Unicode for long), and the
+    library's model merges a piece's bytes; other words, and words that hold an added token in any case, are
+    encoded whole. A group's words are cut at once, as lines of one string: no piece holds a line's end.
     """
 
-    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\x09-\x0d \x85\xa0a-z0-9\xaa\xb5\xba\xb2\xb3\xb9\xbc-\xbe\xdf-\xf6\xf8-\u024f]+")
+    PIECE = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\x09-\x0d \x85\xa0a-z0-9\xaa\xb5\xba\xb2\xb3\xb9\xbc-\xbe\xdf-\xf6\xf8-\u024f]+")
+    #: Letters below U+0250 whose lower case isn't.
+    LEAVING = "".join(c for c in map(chr, range(0x250)) if max(c.lower()) > "\u024f")
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
         self.numbers: dict[str, int] = {}
         self.letters = {b: c for c, b in byte_alphabet().items()}
-        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["[^\x00-\u024f]", *added])).search  # what isn't cut here
+        added = [f"(?i:{re.escape(t.content)})" for t in tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([r"[^\x00-\x{24f}]", f"[{self.LEAVING}]", *added])  # what isn't cut here
         self.flat, self.ends, self.seen = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _forget(self) -> None:
@@ -120,25 +124,27 @@ class WordEncoder:
         self.ends, self.seen = np.cumsum(size), np.ones(len(kept), np.int32)
         self.numbers = {p: k for k, p in enumerate(kept)}
 
-    def _learn(self, new: list[str]) -> None:
-        """Pieces go to the library's BPE model as they are; words that weren't cut, through all its steps."""
-        whole = [p for p in new if self.whole(p)]
-        encoded = {p: e.ids for p, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False), strict=True)}
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        found = [
-            encoded[p] if p in encoded else [t.id for t in tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters))]
-            for p in new
-        ]
-        size = np.fromiter(map(len, found), np.int64, len(found))
+    def _add(self, new: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         begin = self.ends[-1] if len(self.ends) else 0
         self.numbers.update(zip(new, range(len(self.ends), len(self.ends) + len(new)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))])
-        self.ends = np.concatenate([self.ends, begin + np.cumsum(size)])
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        self.ends = np.concatenate([self.ends, begin + np.cumsum(size, dtype=np.int64)])
         self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int32)])
 
-    def pieces(self, word: str) -> list[str]:
-        low = word.lower()
-        return [word] if self.whole(low) or self.whole(word) else self.PIECE.findall(low)
+    def _learn_pieces(self, new: list[str]) -> None:
+        """By the library's BPE model alone. A piece's tokens go at once: lists of them would keep Python's collector busy."""
+        tokenize, letters, ids, size = self.tokenizer.model.tokenize, self.letters, array("i"), array("i")
+        for p in new:
+            found = tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters))
+            ids.extend([t.id for t in found])
+            size.append(len(found))
+        self._add(new, np.array(ids, np.int32), np.array(size, np.int64))
+
+    def _learn_words(self, new: list[str]) -> None:
+        """Through all the library's steps."""
+        found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self._add(new, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size)
 
     def __call__(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids and their number for each text."""
@@ -146,14 +152,26 @@ class WordEncoder:
         coded = lists.flatten().dictionary_encode()
         if len(self.numbers) > CACHED_WORDS or len(self.flat) > 16 * CACHED_WORDS:
             self._forget()
-        split = [self.pieces(w) for w in coded.dictionary.to_pylist()]
-        self._learn([p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.numbers])
-        places = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64)
+        whole = pc.match_substring_regex(coded.dictionary, self.whole)
+        cut, uncut = coded.dictionary.filter(pc.invert(whole)), coded.dictionary.filter(whole).to_pylist()
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(cut)], pa.int32()), cut), "\n")[0].as_py()
+        pieces = self.PIECE.findall(lines.lower() + "\n" * bool(len(cut)))  # a line's end behind each word
+        self._learn_pieces([p for p in dict.fromkeys(pieces) if p != "\n" and p not in self.numbers])
+        self._learn_words([w for w in uncut if w not in self.numbers])
+        self.numbers["\n"] = -1
+        places = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        del self.numbers["\n"]
+        # Words in the order cut, uncut: how many pieces each has, and their places.
+        breaks = np.flatnonzero(places < 0)
+        of_words = np.concatenate([np.diff(breaks, prepend=-1) - 1, np.ones(len(uncut), np.int64)])
+        places = np.concatenate([places[places >= 0], np.fromiter(map(self.numbers.__getitem__, uncut), np.int64, len(uncut))])
         self.seen[np.unique(places)] += 1
         ids, size = taken(self.flat, self.ends, places)
-        piece_ends = np.cumsum([len(s) for s in split]).astype(np.int64)
-        word_ends = np.concatenate([[0], np.cumsum(size)])[piece_ends] if len(split) else piece_ends
-        out, n = taken(ids, word_ends, coded.indices.to_numpy())
+        word_ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(of_words)]
+        mask = whole.to_numpy(zero_copy_only=False)
+        place = np.empty(len(mask), np.int64)
+        place[~mask], place[mask] = np.arange(len(cut)), len(cut) + np.arange(len(uncut))
+        out, n = taken(ids, word_ends, place[coded.indices.to_numpy()])
         upto = np.concatenate([[0], np.cumsum(n)])
         words = np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)
         return out, np.diff(upto[words], prepend=0)
