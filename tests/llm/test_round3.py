@@ -208,6 +208,29 @@ def test_few_parts_are_scanned_again():
     assert popped[-1] < 0.2 * len(x)
 
 
+# components -----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("shape", ["stars", "path", "random", "none"])
+def test_components_by_few_rounds(spark, shape, monkeypatch):
+    """Edges that are stars take no round, others none to see that nothing changes."""
+    from tidemark.llm import components as module
+
+    rng = np.random.default_rng(1)
+    edges = {"stars": [(k // 10 * 10, k) for k in range(40)], "path": [(k + 1, k) for k in range(30)], "random": rng.integers(0, 60, (45, 2)).tolist(), "none": []}[shape]
+    written, materialize = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, tag: written.append(tag) or materialize(df, tag))
+    got = {r.node: r.root for r in module.components(spark.createDataFrame([(int(a), int(b)) for a, b in edges] * 2, "a long, b long")).collect()}
+    low = {x: x for a, b in edges if a != b for x in (a, b)}
+    for _ in range(60):
+        for a, b in edges:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    assert got == low
+    assert shape in ("path", "random") or written == ["edges"]
+    assert len(written) <= 11
+
+
 # token files ----------------------------------------------------------------------------
 
 
